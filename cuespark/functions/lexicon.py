@@ -46,15 +46,20 @@ CUES = {
 
 NAMES = ["John", "Mary", "Sarah"]
 
-# The four residual-cue patterns of the scrub audit, searched in lower-cased text.
-AUDIT_PATTERNS = {
-    "pronoun": r"\b(he|she|him|her|his|hers)\b",
-    "kinship": r"\b(husband|wife|brother|sister|son|daughter)\b",
-    "title": r"\b(Mr\.|Mrs\.|Ms\.)\b",
-    "noun": r"\b(man|woman|male|female|guy|girl|boy|lady|gentleman)\b",
+# Words of the four residual-cue patterns of the scrub audit.
+AUDIT_WORDS = {
+    "pronoun": ["he", "she", "him", "her", "his", "hers"],
+    "kinship": ["husband", "wife", "brother", "sister", "son", "daughter"],
+    "title": ["Mr.", "Mrs.", "Ms."],
+    "noun": ["man", "woman", "male", "female", "guy", "girl", "boy", "lady", "gentleman"],
 }
 
 
+def audit_pattern(name: str) -> str:
+    """The pattern as issues report it: `\\b(...|...)\\b`."""
+    return r"\b(" + "|".join(w.replace(".", r"\.") for w in AUDIT_WORDS[name]) + r")\b"
+
+
 def words_of(side: str | None = None, *classes: str) -> list[str]:
     """Cue words of one side (both if None) and the given classes (all if none)."""
     return [

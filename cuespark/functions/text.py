@@ -26,15 +26,21 @@ def alternation(words: Iterable[str]) -> str:
     return "(?:" + "|".join(f"{re.escape(i)}(?:{'|'.join(r)})" for i, r in by_initial.items()) + ")"
 
 
-def whole_word(pattern: str, ignore_case: bool = True) -> str:
-    """`pattern` where it is not part of a longer word."""
+def any_word(words: Iterable[str], ignore_case: bool = True, ends: str = f"(?!{WORD})") -> str:
+    """Pattern for one of the words where it is not part of a longer one.
+
+    The test for the first letter comes before the costlier one for the character before it.
+    `ends` is what must hold behind the word.
+    """
+    words = list(words)
+    initials = "".join(sorted({re.escape(w[0]) for w in words}))
     flags = "(?iu)" if ignore_case else ""
-    return f"{flags}(?<!{WORD}){pattern}(?!{WORD})"
+    return f"{flags}(?=[{initials}])(?<!{WORD}){alternation(words)}{ends}"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}+"), F.lit(0))
 
 
 def is_blank(text: Column) -> Column:

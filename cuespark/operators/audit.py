@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.functions import lexicon
-from cuespark.functions.text import WORD, bracket_count, count_literal, snippet, word_count
+from cuespark.functions.text import (
+    WORD,
+    any_word,
+    bracket_count,
+    count_literal,
+    snippet,
+    word_count,
+)
 from cuespark.operators.sampling import sample_rows
 from cuespark.schema import require_columns
 
-# A word boundary that means the same on every Java release.
-_BOUNDARY = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
-
-
 def length_delta(df: DataFrame, text: str = "raw_text", scrubbed: str = "scrubbed_text"):
     """Mean shortening in characters; rows with a NULL side do not count."""
     return df.agg(F.avg(F.length(text) - F.length(scrubbed)).alias("avg_length_reduction"))
@@ -28,16 +31,18 @@ def scrub_impact(
     """
     require_columns(df, text, scrubbed)
     before, after = (F.coalesce(F.col(c), F.lit("")) for c in (text, scrubbed))
-    counts = {n: F.sum(count_literal(after, p)) for n, p in lexicon.COUNTED_PLACEHOLDERS.items()}
-    total = sum((count_literal(after, p) for p in lexicon.COUNTED_PLACEHOLDERS.values()), F.lit(0))
-    return df.agg(
+    counts = {
+        f"n_{name}": F.sum(count_literal(after, placeholder))
+        for name, placeholder in lexicon.COUNTED_PLACEHOLDERS.items()
+    }
+    found = df.agg(
         F.count(F.lit(1)).alias("total_texts"),
         F.avg(F.length(before)).alias("avg_original_length"),
         F.avg(F.length(after)).alias("avg_scrubbed_length"),
         F.avg(word_count(before) - word_count(after)).alias("avg_word_reduction"),
-        F.sum(total).alias("total_replacements"),
-        *[c.alias(f"n_{name}") for name, c in counts.items()],
+        *[count.alias(name) for name, count in counts.items()],
     )
+    return found.withColumn("total_replacements", sum((F.col(n) for n in counts), F.lit(0)))
 
 
 def with_replacements(df: DataFrame, scrubbed: str = "scrubbed_text") -> DataFrame:
@@ -91,27 +96,24 @@ def gender_report(
     )
 
 
-def _matches(lowered: Column, pattern: str) -> Column:
-    java = "(?iu)" + pattern.replace(r"\b", _BOUNDARY)
-    return F.regexp_extract_all(lowered, F.lit(java), F.lit(1))
-
-
 def audit_matches(text: Column, mode: str = "reference") -> Column:
     """array<struct(pattern, missed_cues)> over the patterns that hit.
 
-    In "reference" mode a dotted title counts only if a word follows the dot directly, which
+    A dotted title counts in "reference" mode only if a word follows the dot directly, which
     is what its pattern says; "strict" drops that condition.
     """
     if mode not in ("reference", "strict"):
         raise ValueError("mode must be 'reference' or 'strict'")
     lowered = F.lower(text)
     found = []
-    for name, pattern in lexicon.AUDIT_PATTERNS.items():
-        if mode == "strict" and name == "title":
-            pattern = pattern.removesuffix(r"\b")
-        found.append(
-            F.struct(F.lit(pattern).alias("pattern"), _matches(lowered, pattern).alias("missed_cues"))
-        )
+    for name, words in lexicon.AUDIT_WORDS.items():
+        pattern, ends = lexicon.audit_pattern(name), f"(?!{WORD})"
+        if name == "title":
+            pattern = pattern.removesuffix(r"\b") if mode == "strict" else pattern
+            ends = "" if mode == "strict" else f"(?={WORD})"
+        java = any_word([w.lower() for w in words], ends=ends)
+        hits = F.regexp_extract_all(lowered, F.lit(java), F.lit(0))
+        found.append(F.struct(F.lit(pattern).alias("pattern"), hits.alias("missed_cues")))
     return F.filter(F.array(*found), lambda m: F.size(m.missed_cues) > 0)
 
 

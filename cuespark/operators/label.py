@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuespark.functions import lexicon
 from cuespark.functions.responses import parse_label
-from cuespark.functions.text import alternation, is_blank, whole_word
+from cuespark.functions.text import any_word, is_blank
 from cuespark.schema import FEMALE, LABELS, MALE, NEUTRAL, require_columns
 
 _PROMPT_HEAD = (
@@ -62,13 +62,13 @@ def apply_label_policy(
 
 def mentions(text: Column, words: list[str]) -> Column:
     """True if one of the words occurs; stops at the first hit."""
-    return text.rlike(whole_word(alternation(words)))
+    return text.rlike(any_word(words))
 
 
 def cues(text: Column) -> Column:
     """All gendered words of a text, lower-cased, in order."""
-    pattern = whole_word(f"({alternation(lexicon.words_of())})")
-    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
+    pattern = any_word(lexicon.words_of())
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
 def rule_gender(text: Column) -> Column:

@@ -124,7 +124,7 @@ def accuracy_evaluator() -> MulticlassClassificationEvaluator:
 
 
 def cross_validator(
-    estimator: Estimator, grid: list | None = None, folds: int = 5, parallelism: int = 2
+    estimator: Estimator, grid: list | None = None, folds: int = 5, parallelism: int = 4
 ) -> CrossValidator:
     """Cross-validation over a given `fold` column; refits on all rows."""
     return CrossValidator(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuespark.functions import lexicon
 from cuespark.functions.responses import parse_scrub
-from cuespark.functions.text import SPACE, WORD, alternation, whole_word
+from cuespark.functions.text import SPACE, WORD, any_word
 from cuespark.schema import require_columns
 
 # A name list up to this length is searched as one alternation; a longer one by hash lookup.
@@ -33,22 +33,22 @@ def scrub_prompt(text: Column) -> Column:
     return F.concat(F.lit(_PROMPT_HEAD), text, F.lit(_PROMPT_TAIL))
 
 
-def _replace(text: Column, pattern: str, placeholder: str) -> Column:
-    return F.regexp_replace(text, pattern, placeholder)
+def _swap(text: Column, words: list[str], placeholder: str, **options) -> Column:
+    return F.regexp_replace(text, any_word(words, **options), placeholder)
 
 
 def scrub_pronouns(text: Column) -> Column:
     """Reflexives first, then possessives; `her` is possessive if a word follows."""
-    text = _replace(text, whole_word("(?:himself|herself)"), lexicon.PRONOUN_REFLEXIVE)
-    possessive = whole_word("(?:his|hers)") + "|" + whole_word("her") + rf"(?={SPACE}+\p{{L}})"
-    text = _replace(text, f"(?U){possessive}", lexicon.PRONOUN_POSSESSIVE)
-    text = _replace(text, whole_word("(?:him|her)"), lexicon.PRONOUN_OBJECT)
-    return _replace(text, whole_word("(?:he|she)"), lexicon.PRONOUN)
+    text = _swap(text, ["himself", "herself"], lexicon.PRONOUN_REFLEXIVE)
+    before_word = rf"(?U:{SPACE}+)\p{{L}}"
+    ends = rf"(?:(?<!her)(?!{WORD})|(?<=her)(?={before_word}))"
+    text = _swap(text, ["his", "hers", "her"], lexicon.PRONOUN_POSSESSIVE, ends=ends)
+    text = _swap(text, ["him", "her"], lexicon.PRONOUN_OBJECT)
+    return _swap(text, ["he", "she"], lexicon.PRONOUN)
 
 
 def scrub_kinship(text: Column) -> Column:
-    words = alternation(lexicon.words_of(None, "kinship"))
-    return _replace(text, whole_word(words), lexicon.FAMILY_MEMBER)
+    return _swap(text, lexicon.words_of(None, "kinship"), lexicon.FAMILY_MEMBER)
 
 
 def scrub_names(text: Column, names: list[str] | None = None) -> Column:
@@ -57,8 +57,8 @@ def scrub_names(text: Column, names: list[str] | None = None) -> Column:
     if not names:
         return text
     if len(names) <= _ALTERNATION_NAMES:
-        return _replace(text, whole_word(alternation(names), ignore_case=False), lexicon.NAME)
-    pieces = F.regexp_extract_all(text, F.lit(f"({WORD}+|[^\\p{{L}}\\p{{N}}_]+)"), F.lit(1))
+        return _swap(text, names, lexicon.NAME, ignore_case=False)
+    pieces = F.regexp_extract_all(text, F.lit(f"{WORD}+|[^\\p{{L}}\\p{{N}}_]+"), F.lit(0))
     swapped = F.transform(
         pieces, lambda p: F.when(p.isin(*names), F.lit(lexicon.NAME)).otherwise(p)
     )
@@ -67,8 +67,8 @@ def scrub_names(text: Column, names: list[str] | None = None) -> Column:
 
 def scrub_titles(text: Column) -> Column:
     """Titles, with the dot behind them if there is one."""
-    words = alternation(lexicon.words_of(None, "title"))
-    return _replace(text, whole_word(words) + r"\.?", lexicon.TITLE)
+    ends = rf"(?!{WORD})\.?"
+    return _swap(text, lexicon.words_of(None, "title"), lexicon.TITLE, ends=ends)
 
 
 def scrub(text: Column, names: list[str] | None = None) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cuespark.operators.scrub import scrub
 from cuespark.schema import FEMALE, MALE, NEUTRAL
+from cuespark.sources.tables import spread
 
 CUE_SENTENCES = [
     ("My wife said she would bring her notes to the meeting.", FEMALE),
@@ -53,7 +54,8 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(NEUTRAL).alias("gold"),
         F.col("quality").cast("double").alias("female_pred"),
     )
-    return posts_of_documents(table(spark, sf_dir, "documents")).unionByName(withdrawn)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return posts_of_documents(spread(documents, "doc_id")).unionByName(withdrawn)
 
 
 def _pick(shapes: list[Column], key: str = "post_id") -> Column:

@@ -15,7 +15,7 @@ from cuespark.operators import prepare as prep
 from cuespark.operators import sampling, scrub, similarity
 from cuespark.plans import corpus
 from cuespark.plans.backends import BracketBackend, CueBackend, DigestEncoder
-from cuespark.session import work_folder
+from cuespark.session import stored, work_folder
 from cuespark.sources import tables
 from cuespark.streaming import incremental
 
@@ -360,9 +360,8 @@ def stratified_kfold(spark, sf_dir):
 @query
 def stratified_split_posts(spark, sf_dir):
     """The same split over the rule labels of all posts."""
-    return sampling.stratified_split(
-        _labelled(spark, sf_dir).select("post_id", "gender"), key="post_id"
-    )
+    labels = stored(_labelled(spark, sf_dir).select("post_id", "gender"), "labels")
+    return sampling.stratified_split(labels, key="post_id")
 
 
 # Joins.
@@ -455,9 +454,8 @@ def norm_stats(spark, sf_dir):
 @query
 def strategy_compare(spark, sf_dir):
     kept = corpus.posts(spark, sf_dir).select("post_id", "raw_text")
-    both = embed.embed_table(kept, "raw_text", "cls").withColumnRenamed("embedding", "first")
-    both = embed.embed_table(both, "raw_text", "mean")
-    stats = similarity.strategy_compare(both, "first", "embedding")
+    both = embed.pool_columns(kept, "raw_text", {"first": "cls", "mean": "mean"})
+    stats = similarity.strategy_compare(both, "first", "mean")
     return _rounded(stats, *[c for c in stats.columns if c.startswith(("cls", "mean", "avg", "std"))])
 
 
@@ -660,7 +658,9 @@ def grid_search(spark, sf_dir):
 def _document_stream(spark, sf_dir) -> DataFrame:
     schema = corpus.table(spark, sf_dir, "documents").schema
     arriving = incremental.post_stream(spark, sf_dir, schema, "documents.parquet")
-    return incremental.label_and_scrub(corpus.posts_of_documents(arriving))
+    return incremental.label_and_scrub(
+        corpus.posts_of_documents(arriving), tasks=spark.sparkContext.defaultParallelism
+    )
 
 
 @query

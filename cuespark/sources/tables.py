@@ -69,6 +69,16 @@ def _read_csv(spark, path: str, schema: T.StructType | None, multiline: bool) ->
     return raw.select(*[cell(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a table stored in fewer splits than there are cores.
+
+    Text work is bound by the processor, and a file with one row group is one task.  A table
+    with enough splits, as any large one has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def write_table(
     df: DataFrame,
     path: str,

@@ -35,12 +35,15 @@ def label_and_scrub(
     key: str = "post_id",
     event_time: str | None = None,
     delay: str = "1 day",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Stateless labelling and scrubbing.
 
     With an event time, posts delivered again within `delay` are dropped; the watermark bounds
-    the state that needs.
+    the state that needs.  `tasks` spreads files with few splits over that many tasks.
     """
+    if tasks:
+        posts = posts.repartition(tasks, key)
     kept = drop_blank_text(posts, text)
     if event_time:
         kept = kept.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])

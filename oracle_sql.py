@@ -259,7 +259,8 @@ SCRUB_ANSWERS = f"""good AS (
 def audit_sql(source: str, key: str, text: str) -> str:
     """Residual cues: word patterns on tokens, the dotted titles on tokens and separators."""
     parts = []
-    for name, pattern in lexicon.AUDIT_PATTERNS.items():
+    for name, words in lexicon.AUDIT_WORDS.items():
+        pattern = lexicon.audit_pattern(name)
         if name == "title":
             pieces = f"regexp_extract_all(lower({text}), '{W}+|{NOT_W}')"
             found = (
@@ -272,7 +273,6 @@ def audit_sql(source: str, key: str, text: str) -> str:
                 f"FROM (SELECT *, {pieces} AS p FROM {source})"
             )
         else:
-            words = pattern[pattern.index("(") + 1 : pattern.index(")")].split("|")
             parts.append(
                 f"SELECT {key}, {text} AS t, {quoted(pattern)} AS pattern, {hits(text, words)} "
                 f"AS found FROM {source}"
@@ -284,24 +284,28 @@ _ISSUES = """SELECT post_id, substr(lower(t), 1, 100) || '...' AS text_snippet,
   array_to_string(found, ' ') AS missed_cues FROM found WHERE len(found) > 0"""
 
 
-def component(digest: str, j: int) -> str:
+def digest_component(digest: str, j: int) -> str:
     return f"('0x' || substr({digest}, {4 * j + 1}, 4))::BIGINT"
 
 
-def first_component(words: str, j: int) -> str:
-    value = component(f"sha256({words}[1])", j)
-    return f"coalesce({value} / 32767.5 - 1.0, 0.0)::FLOAT::DOUBLE"
+def component(word: str, j: int) -> str:
+    number = f"('0x' || substr({word}, {14 * (j // 8) + 1}, 14))::BIGINT"
+    return f"(({number} >> {7 * (j % 8)}) & 127)"
+
+
+def first_component(digests: str, j: int) -> str:
+    return f"coalesce({component(f'{digests}[1]', j)} / 63.5 - 1.0, 0.0)::FLOAT::DOUBLE"
 
 
 def mean_component(digests: str, j: int) -> str:
     total = f"list_sum(list_transform({digests}, lambda d: {component('d', j)}))"
-    return f"coalesce({total} / len({digests}) / 32767.5 - 1.0, 0.0)::FLOAT::DOUBLE"
+    return f"coalesce({total} / len({digests}) / 63.5 - 1.0, 0.0)::FLOAT::DOUBLE"
 
 
 def words_cte(source: str, text: str) -> str:
     return (
         f"worded AS (SELECT *, {tokens(f'coalesce({text}, chr(32))')} AS words FROM {source}),\n"
-        "digested AS (SELECT *, list_transform(words, lambda w: sha256(w)) AS digests FROM worded)"
+        "digested AS (SELECT *, list_transform(words, lambda w: md5(w)) AS digests FROM worded)"
     )
 
 
@@ -472,26 +476,26 @@ ORACLES: dict[str, str] = {
       FROM (SELECT count(*) AS num_texts, sum({word_count('scrubbed_text')}) / 0.75::DOUBLE AS t
         FROM scrubbed)""",
     "pool_first": with_(POSTS, SCRUBBED, words_cte("scrubbed", "scrubbed_text"))
-    + f"SELECT post_id, {columns(first_component, 16, 'words')} FROM digested",
+    + f"SELECT post_id, {columns(first_component, 16, 'digests')} FROM digested",
     "pool_mean": with_(POSTS, SCRUBBED, words_cte("scrubbed", "scrubbed_text"))
     + f"SELECT post_id, {columns(mean_component, 16, 'digests')} FROM digested",
     "embed_table": with_(POSTS, words_cte("posts", "raw_text"))
     + f"SELECT post_id, 'raw_mean' AS method, {columns(mean_component, 4, 'digests')} FROM digested",
     "embed_methods": with_(POSTS, SCRUBBED, words_cte("scrubbed", "scrubbed_text")) + f"""
-      SELECT post_id, 'lexical_cls' AS method, {columns(first_component, 4, 'words')} FROM digested
+      SELECT post_id, 'lexical_cls' AS method, {columns(first_component, 4, 'digests')} FROM digested
       UNION ALL
       SELECT post_id, 'lexical_mean', {columns(mean_component, 4, 'digests')} FROM digested""",
     "embed_external": with_(POSTS) + f""",
       hashed AS (SELECT post_id,
         md5({strip('replace(coalesce(raw_text, chr(32)), chr(10), chr(32))')}) AS h FROM posts)
       SELECT post_id, 'digest' AS method, {", ".join(
-          f"{r6(f'({component(chr(104), j)} / 32767.5 - 1.0)::FLOAT::DOUBLE')} AS c{j}" for j in range(8)
+          f"{r6(f'({digest_component(chr(104), j)} / 32767.5 - 1.0)::FLOAT::DOUBLE')} AS c{j}" for j in range(8)
       )} FROM hashed""",
     "norm_stats": with_(VECTORS, METHODS) + f"""SELECT method, count(*) AS sample_size,
       {r6('avg(n)')} AS avg_norm, {r6('stddev_pop(n)')} AS std_norm
       FROM (SELECT method, {norm('embedding')} AS n FROM methods) GROUP BY method""",
     "strategy_compare": with_(POSTS, words_cte("posts", "raw_text")) + f""",
-      pooled AS (SELECT [{", ".join(first_component('words', j) for j in range(16))}] AS a,
+      pooled AS (SELECT [{", ".join(first_component('digests', j) for j in range(16))}] AS a,
         [{", ".join(mean_component('digests', j) for j in range(16))}] AS b FROM digested),
       measured AS (SELECT {norm('a')} AS na, {norm('b')} AS nb, {dot('a', 'b')} AS d FROM pooled),
       done AS (SELECT na, nb, CASE WHEN na * nb <> 0 THEN d / (na * nb) END AS c FROM measured)
