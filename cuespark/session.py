@@ -18,7 +18,9 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: str | int = "*", app: str = "cuespark") -> SparkSession:
+def local_session(
+    cpus: str | int = "*", app: str = "cuespark", settings: dict[str, str] | None = None
+) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -28,7 +30,7 @@ def local_session(cpus: str | int = "*", app: str = "cuespark") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
