@@ -19,7 +19,13 @@ MISSING = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-_CSV = {"header": "true", "quote": '"', "escape": '"'}
+_CSV = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def format_of(path: str, fmt: str | None = None) -> str:
@@ -101,9 +107,14 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def read_report(spark: SparkSession, path: str, schema: T.StructType | str | None = None):
-    """Read a JSON report: a file with one (pretty-printed) object or array, or a folder."""
-    reader = spark.read.option("multiLine", "true")
+def read_report(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    pretty: bool = False,
+) -> DataFrame:
+    """Read a JSON report: one object per line as written here, or a `pretty`-printed file."""
+    reader = spark.read.option("multiLine", str(pretty).lower())
     try:
         return (reader if schema is None else reader.schema(schema)).json(path)
     except Exception as problem:
