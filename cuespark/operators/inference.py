@@ -30,29 +30,37 @@ class TextBackend(Protocol):
     def complete(self, prompts: list[str]) -> list[str]: ...
 
 
-def with_requests(
-    df: DataFrame, prompt: Callable[[Column], Column], text: str = "raw_text"
-) -> DataFrame:
-    """Add `prompt` and `request_hash`; both are NULL for an empty text, which is never sent."""
-    require_columns(df, text)
-    filled = F.when(F.col(text) != "", prompt(F.col(text)))
-    return df.withColumn("prompt", filled).withColumn("request_hash", F.sha2("prompt", 256))
+Prompt = Callable[[Column], Column]
 
 
-def distinct_requests(requests: DataFrame) -> DataFrame:
-    """One row per prompt.  Copies are dropped inside each task first, so none piles up."""
-    return (
-        requests.filter(F.col("request_hash").isNotNull())
-        .select("request_hash", "prompt")
-        .dropDuplicates(["request_hash"])
-    )
+def request_hash(prompt: Prompt, text: str) -> Column:
+    """Key of a text's prompt; NULL for an empty text, which is never sent."""
+    return F.sha2(F.when(F.col(text) != "", prompt(F.col(text))), 256)
+
 
+def distinct_requests(posts: DataFrame, prompt: Prompt, text: str = "raw_text") -> DataFrame:
+    """(request_hash, text), one row per prompt.
 
-def pending(requests: DataFrame, answers: DataFrame) -> DataFrame:
-    """Requests without an answer."""
-    return distinct_requests(requests).join(
-        answers.select("request_hash"), "request_hash", "left_anti"
+    Copies are dropped inside each task first, so none piles up.  Texts are shuffled without
+    the wording around them, which is the same for all.
+    """
+    hashed = require_columns(posts, text).select(
+        request_hash(prompt, text).alias("request_hash"), F.col(text).alias("text")
     )
+    return hashed.filter(F.col("request_hash").isNotNull()).dropDuplicates(["request_hash"])
+
+
+def pending(
+    posts: DataFrame, prompt: Prompt, answers: DataFrame | None, text: str = "raw_text"
+) -> DataFrame:
+    """(request_hash, prompt) of everything without an answer.
+
+    The anti-join finds the requests already partitioned by their hash.
+    """
+    todo = distinct_requests(posts, prompt, text)
+    if answers is not None:
+        todo = todo.join(answers.select("request_hash"), "request_hash", "left_anti")
+    return todo.select("request_hash", prompt(F.col("text")).alias("prompt"))
 
 
 def one_answer_each(answers: DataFrame, value: str = "raw") -> DataFrame:
@@ -150,9 +158,11 @@ def read_answers(
 
 
 def run_backend(
-    requests: DataFrame,
+    posts: DataFrame,
+    prompt: Prompt,
     store: str,
     make_backend: Callable[[], TextBackend],
+    text: str = "raw_text",
     chunks: int = 1,
     retry_errors: bool = False,
     **options,
@@ -162,32 +172,29 @@ def run_backend(
     With `chunks` > 1 the requests are committed in that many slices of their hash, so a lost
     job loses one slice of work at most.
     """
-    spark = requests.sparkSession
+    spark = posts.sparkSession
     for chunk in range(chunks):
         answers = read_answers(spark, store)
         if retry_errors:
             answers = answers.filter(F.col("error").isNull())
-        share = requests
+        share = posts
         if chunks > 1:
-            share = requests.filter(F.pmod(F.xxhash64("request_hash"), F.lit(chunks)) == chunk)
-        ask(pending(share, answers), make_backend, **options).write.mode("append").parquet(store)
+            slot = F.pmod(F.xxhash64(request_hash(prompt, text)), F.lit(chunks))
+            share = posts.filter(slot == chunk)
+        todo = pending(share, prompt, answers, text)
+        ask(todo, make_backend, **options).write.mode("append").parquet(store)
     return one_answer_each(read_answers(spark, store))
 
 
-def attach_answers(requests: DataFrame, answers: DataFrame, key: str = "post_id") -> DataFrame:
-    """Give every post the answer to its prompt, also when very many posts share one."""
-    return join_many_to_one(
-        requests.drop("prompt"), answers, "request_hash", spread_by=key
-    )
-
-
 def _answered(posts, prompt, make_backend, key, text, store, options) -> DataFrame:
-    requests = with_requests(require_columns(posts, key, text), prompt, text)
+    """Posts with `raw` and `error`, also when very many of them share one prompt."""
+    require_columns(posts, key, text)
     if store is not None:
-        answers = run_backend(requests, store, make_backend, **options)
+        answers = run_backend(posts, prompt, store, make_backend, text, **options)
     else:
-        answers = ask(distinct_requests(requests), make_backend, **options)
-    return attach_answers(requests, answers, key)
+        answers = ask(pending(posts, prompt, None, text), make_backend, **options)
+    hashed = posts.withColumn("request_hash", request_hash(prompt, text))
+    return join_many_to_one(hashed, answers, "request_hash", spread_by=key)
 
 
 def label_with_backend(

@@ -106,7 +106,8 @@ def pack_embedding(spark, sf_dir):
 
 @query
 def label_requests(spark, sf_dir):
-    asked = inference.with_requests(corpus.posts(spark, sf_dir), label.label_prompt)
+    filled = F.when(F.col("raw_text") != "", label.label_prompt(F.col("raw_text")))
+    asked = corpus.posts(spark, sf_dir).select("post_id", filled.alias("prompt"))
     return asked.select(
         "post_id", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("h")
     )
@@ -175,12 +176,11 @@ def label_agreement(spark, sf_dir):
 @query
 def inference_resume(spark, sf_dir):
     # Documents with a quality label count as answered already.
-    asked = inference.with_requests(
-        filters.drop_blank_text(corpus.posts(spark, sf_dir)), label.label_prompt
-    )
+    kept = filters.drop_blank_text(corpus.posts(spark, sf_dir))
     done = corpus.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("post_id"))
-    answers = asked.join(done, "post_id").select("request_hash")
-    return inference.pending(asked, answers).select("request_hash")
+    key_of = inference.request_hash(label.label_prompt, "raw_text")
+    answers = kept.join(done, "post_id").select(key_of.alias("request_hash"))
+    return inference.pending(kept, label.label_prompt, answers).select("request_hash")
 
 
 # Scrubbing.
@@ -188,7 +188,8 @@ def inference_resume(spark, sf_dir):
 
 @query
 def scrub_requests(spark, sf_dir):
-    asked = inference.with_requests(corpus.posts(spark, sf_dir), scrub.scrub_prompt)
+    filled = F.when(F.col("raw_text") != "", scrub.scrub_prompt(F.col("raw_text")))
+    asked = corpus.posts(spark, sf_dir).select("post_id", filled.alias("prompt"))
     return asked.select(
         "post_id", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("h")
     )

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Whole texts go to Python workers; a batch of them must fit a worker's memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # JSON answers may repeat a key; the last one wins, as in Python's json module.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

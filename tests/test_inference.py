@@ -4,7 +4,6 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
 
 from conftest import column
 from cuespark.operators import inference
@@ -131,8 +130,9 @@ def test_a_rate_needs_a_number_of_tasks(texts):
 def test_pending_is_an_anti_join(spark, texts):
     from cuespark.operators.label import label_prompt
 
-    asked = inference.with_requests(texts("a", "b", "b", None, ""), label_prompt)
-    hash_a = asked.filter("raw_text = 'a'").first().request_hash
-    answers = spark.createDataFrame([(hash_a,)], "request_hash string")
-    assert inference.pending(asked, answers).count() == 1
-    assert asked.filter(F.col("request_hash").isNull()).count() == 2
+    posts = texts("a", "b", "b", None, "")
+    key_of = inference.request_hash(label_prompt, "raw_text")
+    answers = posts.filter("raw_text = 'a'").select(key_of.alias("request_hash"))
+    todo = inference.pending(posts, label_prompt, answers).collect()
+    assert len(todo) == 1 and '"b"' in todo[0].prompt
+    assert posts.filter(key_of.isNull()).count() == 2

@@ -64,8 +64,13 @@ def test_row_operators_do_not_shuffle(spark, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = plan_of(QUERIES["label_counts"](spark, SF_DIR))
-    assert "IsNotNull(text)" in plan
-    assert "ReadSchema: struct<text:string>" in plan or "struct<doc_id:bigint,text:string>" in plan
+    from cuespark.operators.filters import drop_blank_text
+    from cuespark.operators.label import label_counts, label_posts
+
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    plan = plan_of(label_counts(label_posts(drop_blank_text(documents, "text"), "text")))
+    assert "PushedFilters: [IsNotNull(text)]" in plan and "ReadSchema: struct<text:string>" in plan
     plan = plan_of(QUERIES["attach_embeddings"](spark, SF_DIR))
-    assert "label" not in plan.split("embeddings.parquet")[1].split("ReadSchema")[1].split("\n")[0]
+    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan
+    plan = plan_of(QUERIES["norm_stats"](spark, SF_DIR))
+    assert "ReadSchema: struct<embedding:array<float>>" in plan

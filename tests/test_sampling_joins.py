@@ -105,7 +105,7 @@ def test_hot_key_join_equals_plain_join(spark, how):
     keys = [1] * 400 + [rng.randint(2, 60) for _ in range(600)] + [None] * 5
     many = spark.createDataFrame(list(enumerate(keys)), "post_id bigint, k bigint")
     one = spark.createDataFrame([(k, f"v{k}") for k in range(50)], "k bigint, v string")
-    hot = joins.hot_keys(many.select("k"), "k", rows_per_split=50, max_hot=20)
+    hot = joins.hot_keys(many, "k", "post_id", rows_per_split=50, max_hot=20)
     assert dict(hot)[1] == math.ceil(400 / 50) and len(hot) <= 20
     joined = joins.join_many_to_one(many, one, "k", "post_id", how, rows_per_split=50, max_hot=20)
     plain = many.join(one, "k", how)
@@ -113,6 +113,13 @@ def test_hot_key_join_equals_plain_join(spark, how):
     assert rows(joined) == rows(plain)
 
 
+def test_hot_keys_of_a_large_table_come_from_a_part_of_it(spark):
+    many = spark.range(60000).select(
+        F.col("id").alias("post_id"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    hot = joins.hot_keys(many, "k", "post_id", rows_per_split=5000, max_hot=20, large=10000)
+    assert [k for k, _ in hot] == [-1] and 2 <= hot[0][1] <= 6
+
+
 def test_hot_key_is_spread_over_tasks(spark):
     many = spark.range(4000).select(F.col("id").alias("post_id"), F.lit("same").alias("k"))
     one = spark.createDataFrame([("same", 1)], "k string, v bigint")
