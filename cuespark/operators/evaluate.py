@@ -6,7 +6,7 @@ few rows inside the tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,18 +26,23 @@ def pair_counts(df: DataFrame, label="label", prediction="prediction") -> DataFr
 
 def confusion_matrix(df: DataFrame, label="label", prediction="prediction") -> DataFrame:
     """(label, prediction, n) for every pair of classes, zeros included."""
-    counts = pair_counts(df, label, prediction)
-    classes = counts.agg(
-        F.array_distinct(
-            F.concat(F.collect_set("label"), F.collect_set("prediction"))
-        ).alias("c")
-    )  # one row with the class names
-    grid = classes.select("c", F.explode("c").alias("label")).select(
-        "label", F.explode("c").alias("prediction")
-    )
-    return grid.join(counts, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("n", F.lit(0)).alias("n")
+    folded = pair_counts(df, label, prediction).agg(
+        F.collect_list(F.struct("label", "prediction", "n")).alias("cells"),
+        F.array_distinct(F.concat(F.collect_set("label"), F.collect_set("prediction"))).alias("c"),
+    )  # one row; its arrays have as many elements as the matrix has cells
+    zeros = F.flatten(
+        F.transform(
+            "c",
+            lambda a: F.transform(
+                F.col("c"),
+                lambda b: F.struct(
+                    a.alias("label"), b.alias("prediction"), F.lit(0).cast("bigint").alias("n")
+                ),
+            ),
+        )
     )
+    cells = folded.select(F.inline(F.concat("cells", zeros)))
+    return cells.groupBy("label", "prediction").agg(F.sum("n").alias("n"))
 
 
 def _per_class(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -86,25 +91,23 @@ def classification_report(df: DataFrame, label="label", prediction="prediction")
     classes = _per_class(df, label, prediction)
     metrics = ("precision", "recall", "f1_score")
     total = F.sum("support")
-    summary = classes.agg(
-        F.struct(
-            F.lit("accuracy").alias("class"),
-            *[F.try_divide(F.sum("hits"), total).alias(m) for m in metrics],
-            total.alias("support"),
-        ).alias("a"),
-        F.struct(
-            F.lit("macro avg").alias("class"),
-            *[F.avg(m).alias(m) for m in metrics],
-            total.alias("support"),
-        ).alias("m"),
-        F.struct(
-            F.lit("weighted avg").alias("class"),
-            *[F.try_divide(F.sum(F.col(m) * F.col("support")), total).alias(m) for m in metrics],
-            total.alias("support"),
-        ).alias("w"),
-    ).select(F.inline(F.array("a", "m", "w")))
-    each = classes.select(F.col("class").cast("string").alias("class"), *metrics, "support")
-    return each.unionByName(summary)
+
+    def line(name: str, value) -> Column:
+        return F.struct(
+            F.lit(name).alias("class"), *[value(m).alias(m) for m in metrics], total.alias("support")
+        )
+
+    each = F.struct(F.col("class").cast("string").alias("class"), *metrics, "support")
+    # One row per class: folded into one row, the lines need no second pass.
+    folded = classes.agg(
+        F.collect_list(each).alias("each"),
+        F.array(
+            line("accuracy", lambda m: F.try_divide(F.sum("hits"), total)),
+            line("macro avg", F.avg),
+            line("weighted avg", lambda m: F.try_divide(F.sum(F.col(m) * F.col("support")), total)),
+        ).alias("averages"),
+    )
+    return folded.select(F.inline(F.concat("each", "averages")))
 
 
 def class_distribution(df: DataFrame, label: str = "gender", split: str = "split") -> DataFrame:

@@ -38,3 +38,8 @@ def decode_label(df: DataFrame, column: str = "female_pred", into: str = "gender
         .filter(value.isin(0.0, 1.0))
         .withColumn(into, F.when(value == 1.0, FEMALE).otherwise(MALE))
     )
+
+
+def head(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """The first n rows by the given columns; every task hands on n rows at most."""
+    return require_columns(df, *by).orderBy(*by).limit(n)

@@ -23,6 +23,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -178,14 +179,24 @@ def _short(problem: Exception) -> str:
 
 
 def predict(models: dict[str, object], data: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Predictions of all models as one table: (key, label, prediction, model)."""
+    """Predictions of all models as one table: key, label, prediction, probability, model.
+
+    `probability` is NULL for a model that gives none.
+    """
     if not models:
         raise ValueError("no trained models")
-    parts = [
-        m.transform(data).select(key, "label", "prediction", F.lit(name).alias("model"))
-        for name, m in models.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+
+    def table(name: str, model) -> DataFrame:
+        made = model.transform(data)
+        if "probability" in made.columns:
+            probability = vector_to_array("probability")
+        else:
+            probability = F.lit(None).cast("array<double>")
+        return made.select(
+            key, "label", "prediction", probability.alias("probability"), F.lit(name).alias("model")
+        )
+
+    return reduce(DataFrame.unionByName, [table(n, m) for n, m in models.items()])
 
 
 def evaluate_models(models: dict[str, object], data: Prepared, key: str = "vec_id") -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.functions.vectors import cosine, dot, norm
+from cuespark.operators.embed import pool_columns
 from cuespark.operators.sampling import sample_rows
 from cuespark.schema import require_columns
 
@@ -45,6 +46,22 @@ def strategy_compare(df: DataFrame, first: str, mean: str) -> DataFrame:
     )
 
 
+def compare_strategies(
+    df: DataFrame,
+    text: str = "scrubbed_text",
+    key: str = "post_id",
+    sample_size: int | None = 100,
+    seed: int = 42,
+    max_tokens: int | None = None,
+) -> DataFrame:
+    """`strategy_compare` of both lexical poolings over a seeded sample, or over all texts."""
+    rows = require_columns(df, key, text).select(key, text)
+    if sample_size is not None:
+        rows = sample_rows(rows, sample_size, key, seed)
+    pooled = pool_columns(rows, text, {"_first": "cls", "_mean": "mean"}, max_tokens=max_tokens)
+    return strategy_compare(pooled, "_first", "_mean")
+
+
 def _pairs(vectors: str, n: int) -> Column:
     """The pairs among the first n elements of an array of vectors, as an array of (a, b)."""
     first = F.slice(vectors, 1, n)

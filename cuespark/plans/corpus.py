@@ -147,7 +147,7 @@ def methods(df: DataFrame) -> DataFrame:
     return df.select(*rest, F.inline(each)).withColumnRenamed("e", "embedding")
 
 
-def predictions(df: DataFrame) -> DataFrame:
+def predictions(df: DataFrame, *keep: str) -> DataFrame:
     """Three fixed predictors on (method, embedding) rows, as a prediction table."""
 
     def argmax(part: Column) -> Column:
@@ -171,4 +171,4 @@ def predictions(df: DataFrame) -> DataFrame:
             F.lit(FEMALE).alias("prediction"),
         ),
     )
-    return df.select("vec_id", "method", F.col("gender").alias("label"), F.inline(each))
+    return df.select("vec_id", "method", *keep, F.col("gender").alias("label"), F.inline(each))

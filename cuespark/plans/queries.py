@@ -37,6 +37,10 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: _r6(n) for n in names})
 
 
+def _rounded_stats(df: DataFrame) -> DataFrame:
+    return _rounded(df, *[c for c in df.columns if "avg" in c or "std" in c])
+
+
 def _components(df: DataFrame, n: int, column: str = "embedding") -> DataFrame:
     """Vector components as rounded columns c0, c1, ..."""
     rest = [c for c in df.columns if c != column]
@@ -300,6 +304,13 @@ def scrub_issues(spark, sf_dir):
     return _issue_rows(audit.scrub_issues(_scrubbed(spark, sf_dir)))
 
 
+@query
+def first_issues(spark, sf_dir):
+    """The first five issues, as the report shows them."""
+    issues = _issue_rows(audit.scrub_issues(_scrubbed(spark, sf_dir)))
+    return filters.head(issues, 5, "post_id", "pattern")
+
+
 @query
 def scrub_issues_all(spark, sf_dir):
     """The same audit over the whole corpus, here of the texts before scrubbing."""
@@ -454,10 +465,16 @@ def norm_stats(spark, sf_dir):
 
 @query
 def strategy_compare(spark, sf_dir):
-    kept = corpus.posts(spark, sf_dir).select("post_id", "raw_text")
-    both = embed.pool_columns(kept, "raw_text", {"first": "cls", "mean": "mean"})
-    stats = similarity.strategy_compare(both, "first", "mean")
-    return _rounded(stats, *[c for c in stats.columns if c.startswith(("cls", "mean", "avg", "std"))])
+    stats = similarity.compare_strategies(
+        corpus.posts(spark, sf_dir), "raw_text", sample_size=None
+    )
+    return _rounded_stats(stats)
+
+
+@query
+def strategy_compare_sample(spark, sf_dir):
+    """The same report from a seeded sample of 100 texts."""
+    return _rounded_stats(similarity.compare_strategies(corpus.posts(spark, sf_dir), "raw_text"))
 
 
 @query
@@ -474,8 +491,7 @@ def mean_similarity_all(spark, sf_dir):
 
 @query
 def embedding_report(spark, sf_dir):
-    report = similarity.embedding_report(corpus.vectors(spark, sf_dir))
-    return _rounded(report, *[c for c in report.columns if c.startswith(("avg", "std"))])
+    return _rounded_stats(similarity.embedding_report(corpus.vectors(spark, sf_dir)))
 
 
 @query
@@ -558,9 +574,7 @@ def evaluate_(spark, sf_dir):
 @query
 def cv_summary(spark, sf_dir):
     folds = sampling.stratified_folds(corpus.vectors(spark, sf_dir))
-    judged = corpus.predictions(corpus.methods(folds)).join(
-        folds.select("vec_id", "fold"), "vec_id"
-    )
+    judged = corpus.predictions(corpus.methods(folds), "fold")
     return _rounded(
         evaluate.cv_summary(judged, ["method", "model"]), "cv_accuracy_mean", "cv_accuracy_std"
     )

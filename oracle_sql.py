@@ -280,6 +280,9 @@ def audit_sql(source: str, key: str, text: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+_SAMPLED_ISSUES = f"""
+      sample AS (SELECT * FROM scrubbed ORDER BY {seeded('post_id', 42)} LIMIT 100),
+      found AS ({audit_sql('sample', 'post_id', 'scrubbed_text')})"""
 _ISSUES = """SELECT post_id, substr(lower(t), 1, 100) || '...' AS text_snippet, pattern,
   array_to_string(found, ' ') AS missed_cues FROM found WHERE len(found) > 0"""
 
@@ -323,6 +326,18 @@ def dot(a: str, b: str) -> str:
     )
 
 
+def strategy_sql(source: str) -> str:
+    return with_(POSTS, words_cte(source, "raw_text")) + f""",
+      pooled AS (SELECT [{", ".join(first_component('digests', j) for j in range(16))}] AS a,
+        [{", ".join(mean_component('digests', j) for j in range(16))}] AS b FROM digested),
+      measured AS (SELECT {norm('a')} AS na, {norm('b')} AS nb, {dot('a', 'b')} AS d FROM pooled),
+      done AS (SELECT na, nb, CASE WHEN na * nb <> 0 THEN d / (na * nb) END AS c FROM measured)
+      SELECT count(*) AS sample_size, {r6('avg(na)')} AS cls_avg_norm, {r6('avg(nb)')} AS mean_avg_norm,
+        {r6('stddev_pop(na)')} AS cls_std_norm, {r6('stddev_pop(nb)')} AS mean_std_norm,
+        {r6('avg(c)')} AS avg_cosine_similarity, {r6('stddev_pop(c)')} AS std_cosine_similarity,
+        count(*) FILTER (c IS NULL) AS n_undefined FROM done"""
+
+
 def scrub_step(step) -> str:
     return with_(POSTS) + (
         f"SELECT post_id, {step('raw_text')} AS scrubbed_text FROM posts WHERE raw_text IS NOT NULL"
@@ -426,9 +441,9 @@ ORACLES: dict[str, str] = {
         round_even(stddev_samp(r), 2) AS replacements_std, max(r) AS replacements_max,
         round_even(avg(length(raw_text)), 2) AS original_length_mean,
         round_even(avg(length(s)), 2) AS scrubbed_length_mean FROM sized GROUP BY gender""",
-    "scrub_issues": with_(POSTS, SCRUBBED) + f""",
-      sample AS (SELECT * FROM scrubbed ORDER BY {seeded('post_id', 42)} LIMIT 100),
-      found AS ({audit_sql('sample', 'post_id', 'scrubbed_text')}) {_ISSUES}""",
+    "scrub_issues": with_(POSTS, SCRUBBED, _SAMPLED_ISSUES) + _ISSUES,
+    "first_issues": with_(POSTS, SCRUBBED, _SAMPLED_ISSUES)
+    + _ISSUES + " ORDER BY post_id, pattern LIMIT 5",
     "scrub_issues_all": with_(POSTS) + f""",
       shown AS (SELECT * FROM posts WHERE raw_text IS NOT NULL),
       found AS ({audit_sql('shown', 'post_id', 'raw_text')}) {_ISSUES}""",
@@ -494,15 +509,10 @@ ORACLES: dict[str, str] = {
     "norm_stats": with_(VECTORS, METHODS) + f"""SELECT method, count(*) AS sample_size,
       {r6('avg(n)')} AS avg_norm, {r6('stddev_pop(n)')} AS std_norm
       FROM (SELECT method, {norm('embedding')} AS n FROM methods) GROUP BY method""",
-    "strategy_compare": with_(POSTS, words_cte("posts", "raw_text")) + f""",
-      pooled AS (SELECT [{", ".join(first_component('digests', j) for j in range(16))}] AS a,
-        [{", ".join(mean_component('digests', j) for j in range(16))}] AS b FROM digested),
-      measured AS (SELECT {norm('a')} AS na, {norm('b')} AS nb, {dot('a', 'b')} AS d FROM pooled),
-      done AS (SELECT na, nb, CASE WHEN na * nb <> 0 THEN d / (na * nb) END AS c FROM measured)
-      SELECT count(*) AS sample_size, {r6('avg(na)')} AS cls_avg_norm, {r6('avg(nb)')} AS mean_avg_norm,
-        {r6('stddev_pop(na)')} AS cls_std_norm, {r6('stddev_pop(nb)')} AS mean_std_norm,
-        {r6('avg(c)')} AS avg_cosine_similarity, {r6('stddev_pop(c)')} AS std_cosine_similarity,
-        count(*) FILTER (c IS NULL) AS n_undefined FROM done""",
+    "strategy_compare": strategy_sql("posts"),
+    "strategy_compare_sample": strategy_sql(
+        f"(SELECT * FROM posts ORDER BY {seeded('post_id', 42)} LIMIT 100)"
+    ),
     "pairwise_similarity": with_(VECTORS) + f""",
       first AS (SELECT * FROM vectors ORDER BY vec_id LIMIT 10)
       SELECT a.vec_id AS left_id, b.vec_id AS right_id,

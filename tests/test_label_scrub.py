@@ -38,6 +38,19 @@ def test_scrub_equals_python_on_random_texts(texts):
     assert column(df, "scrubbed_text") == [python_scrub(s) for s in samples]
 
 
+def test_one_search_equals_four_rewrites(texts):
+    samples = random_texts(1500, 11) + [
+        "her  herself", "her himself", "her\n\tHERSELF.", "her herselfish", "her his her", "her her her x",
+        "her", "her ", "ſhe and hiſ", "Mr.Mrs.ms", "\ue000 he \ue000", "Her\u00a0note", "", "John's son"]
+    samples += [s.upper() for s in samples[:300]]
+    df = texts(*samples, None).select(
+        "post_id", scrub.scrub(F.col("raw_text")).alias("one"),
+        scrub.scrub_stepwise(F.col("raw_text")).alias("four"))
+    assert column(df, "one") == column(df, "four")
+    none = texts("John met her son", "x").select("post_id", scrub.scrub(F.col("raw_text"), []).alias("s"))
+    assert column(none, "s") == ["John met [PRONOUN_POSSESSIVE] [FAMILY_MEMBER]", "x"]
+
+
 def test_long_name_list_gives_the_same_result(texts):
     samples = random_texts(200, 8)
     names = lexicon.NAMES + [f"Nobody{i}" for i in range(60)]
