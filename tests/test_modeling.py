@@ -17,11 +17,12 @@ def blobs(spark, n=120, dim=6, classes=2, seed=0, shift=4.0, method=None):
         v = rng.normal(size=dim)
         v[c % dim] += shift
         rows.append((i, NAMES[c], v.tolist()))
-    return spark.createDataFrame(rows, "vec_id bigint, gender string, embedding array<double>")
+    schema = "vec_id bigint, gender string, embedding array<double>"
+    return spark.createDataFrame(rows, schema).coalesce(1)
 
 
 def small(dim, k):
-    return models.registry(dim, k, trees=5, depth=4, rounds=3, max_iter=100, mlp_layers=(8,), mlp_iter=60)
+    return models.registry(dim, k, trees=5, depth=3, rounds=2, max_iter=30, mlp_layers=(8,), mlp_iter=60)
 
 
 def test_gaps(spark):
@@ -160,7 +161,7 @@ def test_saved_models_predict_the_same(spark, tmp_path):
     assert set(loaded) == set(fitted)
     assert results[models.LASSO]["training_samples"] == data.n_train
     again = preprocessing.transform(blobs(spark, 90, classes=3))
-    rows = lambda df: sorted(df.collect())
+    rows = lambda df: sorted(df.collect(), key=str)
     test_ids = data.test.select("vec_id")
     assert rows(models.predict(fitted, data.test)) == rows(
         models.predict(loaded, again.join(test_ids, "vec_id")))
