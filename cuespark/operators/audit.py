@@ -96,14 +96,14 @@ def gender_report(
     )
 
 
-def audit_matches(text: Column, mode: str = "reference") -> Column:
+def audit_matches(text: Column, mode: str = "literal") -> Column:
     """array<struct(pattern, missed_cues)> over the patterns that hit.
 
-    A dotted title counts in "reference" mode only if a word follows the dot directly, which
+    A dotted title counts in "literal" mode only if a word follows the dot directly, which
     is what its pattern says; "strict" drops that condition.
     """
-    if mode not in ("reference", "strict"):
-        raise ValueError("mode must be 'reference' or 'strict'")
+    if mode not in ("literal", "strict"):
+        raise ValueError("mode must be 'literal' or 'strict'")
     lowered = F.lower(text)
     found = []
     for name, words in lexicon.AUDIT_WORDS.items():
@@ -123,7 +123,7 @@ def scrub_issues(
     scrubbed: str = "scrubbed_text",
     sample_size: int | None = 100,
     seed: int = 42,
-    mode: str = "reference",
+    mode: str = "literal",
 ) -> DataFrame:
     """One row per (post, pattern) with cues left in the scrubbed text.
 
