@@ -598,7 +598,7 @@ def method_ranking(spark, sf_dir):
     return _rounded(ranked, "best_accuracy").select("method", "best_model", "best_accuracy")
 
 
-# Training.  Small settings: the reference values are the defaults of `registry`.
+# Training.  Small settings; `registry` has the study's values as defaults.
 
 
 def _small(dim: int, n_classes: int):
