@@ -1,3 +1,77 @@
-"""SQL for the queries that SQL can express."""
+"""SQL for the queries that SQL can express.
+
+Scores of fitted or learned models (op1, op2, op7), hashes that SQL lacks (op3, op10) and
+tokenizers (op5, op9) have none; tests/llm compares them with brute force.
+"""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op4_nearest"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+ORACLES["op6_urls"] = """
+WITH rules(h, p, v) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+         ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), u AS (
+  SELECT page_id, row_number() OVER () AS n, coalesce(url, '') AS u FROM pages
+), s AS (
+  SELECT page_id, n,
+    translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), best AS (
+  SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM s JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY n
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN best USING (n)
+"""
+
+ORACLES["op8_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item AS (
+  SELECT item_id, w, least(len(w), 10) AS l, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i
+  FROM b WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[i : i + l - 1], ' ') AS t FROM item
+), place AS (
+  SELECT n, l, w, unnest(range(1, len(w) - l + 2)) AS i
+  FROM d, (SELECT DISTINCT l FROM windows) WHERE len(w) >= l
+), hit AS (
+  SELECT n, i, l, item_id FROM (
+    SELECT n, i, l, array_to_string(w[i : i + l - 1], ' ') AS t FROM place
+  ) JOIN windows USING (l, t)
+), words AS (
+  SELECT n, count(DISTINCT p) AS n_hit FROM (
+    SELECT DISTINCT n, unnest(range(i, i + l)) AS p FROM hit
+  ) GROUP BY n
+), items AS (
+  SELECT n, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT n, item_id::VARCHAR AS item_id FROM hit) GROUP BY n
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (n) LEFT JOIN items USING (n)
+"""
