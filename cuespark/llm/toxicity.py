@@ -25,7 +25,7 @@ KEPT = 200_000  # tokens whose reading a worker keeps
 # Fixed values of the channel: what a sign may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b",
-    "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
+    "9": "g", "*": "aeiou", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 SEPARATORS = " .-_*~"
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
@@ -35,7 +35,7 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 #: A token that may be disguised: a sign between or beside letters, a letter three times, or
 #: separators between single letters.
 _NOISY = re.compile(
-    rf"[^\W\d_][{_SIGN}]+[^\W\d_]|^[{_SIGN}][^\W\d_]|([^\W_])\1\1|^\w(?:[{re.escape(SEPARATORS)}]\w)+$"
+    rf"[^\W\d_][{_SIGN}]+[^\W\d_]|^[0-9@$!][^\W\d_]|([^\W_])\1\1|^\w(?:[{re.escape(SEPARATORS)}]\w)+$"
 )
 _SPACED = re.compile(rf"(?<![\w{_SIGN}])(?:[\w@$!|][{re.escape(SEPARATORS)}]){{2,}}[\w@$!|](?![\w{_SIGN}])")
 
@@ -84,7 +84,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 arcs.append(("", math.log(0.7 if run else 0.05)))
         elif sign in LEET:
             arcs = [(letter, math.log(0.8 / len(LEET[sign]))) for letter in LEET[sign]]
-            arcs.append(("", math.log(0.7 if again else 0.02)))
+            gone = 0.7 if again or sign in SEPARATORS else 0.005 if i == 0 else 1e-4
+            arcs.append(("", math.log(gone)))
         elif sign in SEPARATORS:
             arcs = [("", math.log(0.9)), (" ", math.log(0.1))]
         else:
@@ -127,11 +128,10 @@ def decode(token: str, model: CharacterModel, beam: int = 24) -> str:
 def restore(token: str, model: CharacterModel) -> list[str]:
     """The words that a lower-cased token reads as: itself without its edges, or its decoding."""
     plain = _EDGE.sub("", token)
-    if plain.isalpha() and not _NOISY.search(plain):
-        return [plain]
-    if not any(c in LETTERS for c in token) or not _NOISY.search(token.rstrip(".,;:?")):
+    shown = token[: token.find(plain) + len(plain)]  # signs before the word may be its letters
+    if not any(c in LETTERS for c in plain) or not _NOISY.search(shown):
         return [plain] if plain else []
-    return decode(token.rstrip(".,;:?"), model).split() or ([plain] if plain else [])
+    return decode(shown, model).split() or [plain]
 
 
 def tokens(text: str) -> list[str]:
@@ -187,7 +187,7 @@ class Reader:
             found = self.model.evidence.get(key)
             if found:
                 a, b = found[0] - own[0], found[1] - own[1]
-                odds = math.log((a + 0.5) / (ones + 1)) - math.log((b + 0.5) / (zeros + 1))
+                odds = math.log((a + 0.5) / (ones + 1)) - math.log((b + 2.0) / (zeros + 4))
                 best = max(best, odds)
         return best
 
@@ -207,7 +207,7 @@ class Reader:
         else:
             weights = [w for x in self.words(text) if (w := self.weight(x, label))]
         return [max(weights, default=0.0), math.log1p(sum(weights)),
-                float(sum(w > 4 for w in weights))]
+                float(sum(w > 3 for w in weights))]
 
     def score(self, text: str) -> float:
         line = self.model.intercept + sum(
