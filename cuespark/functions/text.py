@@ -19,11 +19,31 @@ NOT_SPACE = r"[^\s\x1C-\x1F]"
 
 
 def alternation(words: Iterable[str]) -> str:
-    """`(?:h(?:e|er)|s(?:he))`: words grouped by first letter, so most positions fail at once."""
-    by_initial: dict[str, list[str]] = {}
+    """`(?:he(?:r)?|she)`: a prefix tree, so that a search costs the same for any number of words.
+
+    The longest word that fits is taken.
+    """
+    tree: dict = {}
     for word in words:
-        by_initial.setdefault(word[0], []).append(re.escape(word[1:]))
-    return "(?:" + "|".join(f"{re.escape(i)}(?:{'|'.join(r)})" for i, r in by_initial.items()) + ")"
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+    return _branches(tree)
+
+
+def _branches(node: dict) -> str:
+    ways = []
+    for letter, below in node.items():
+        if letter:
+            run = re.escape(letter)
+            while len(below) == 1 and "" not in below:
+                letter, below = next(iter(below.items()))
+                run += re.escape(letter)
+            ways.append(run + _branches(below))
+    if not ways:
+        return ""
+    return "(?:" + "|".join(ways) + ")" + ("?" if "" in node else "")
 
 
 def any_word(words: Iterable[str], ignore_case: bool = True, ends: str = f"(?!{WORD})") -> str:

@@ -145,12 +145,14 @@ def issue_rate(
     scrubbed: str = "scrubbed_text",
     sample_size: int | None = None,
     seed: int = 42,
+    examples: int = 5,
 ) -> DataFrame:
-    """Posts with issues, issues and issue rate: one row, one pass."""
+    """Posts with issues, issues, issue rate and the ids of the first `examples` of these posts."""
     looked_at = require_columns(df, key, scrubbed).select(key, scrubbed)
     if sample_size is not None:
         looked_at = sample_rows(looked_at, sample_size, key, seed)
     counted = looked_at.select(
+        F.col(key).alias("_key"),
         F.size(audit_matches(F.coalesce(F.col(scrubbed), F.lit("None")))).alias("_issues")
     )
     return counted.agg(
@@ -158,16 +160,29 @@ def issue_rate(
         F.count_if(F.col("_issues") > 0).alias("texts_with_issues"),
         F.coalesce(F.sum("_issues"), F.lit(0)).cast("bigint").alias("total_issues"),
         F.try_divide(F.count_if(F.col("_issues") > 0), F.count(F.lit(1))).alias("issue_rate"),
-    )
+    ).transform(_with_examples, counted.filter(F.col("_issues") > 0), ["_key"], examples)
+
+
+def _with_examples(summary: DataFrame, rows: DataFrame, order: list, n: int) -> DataFrame:
+    """A one-row summary with `examples`, the `_key` of the first n rows."""
+    first = rows.select("_key", F.struct(*order).alias("_o")).orderBy("_o").limit(n)
+    listed = first.agg(F.array_sort(F.collect_list(F.struct("_o", "_key"))).alias("_e"))
+    one = listed.select(F.col("_e._key").alias("examples"))
+    both = summary.unionByName(one, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def modification_summary(
-    df: DataFrame, key: str = "post_id", text: str = "raw_text", scrubbed: str = "scrubbed_text"
+    df: DataFrame,
+    key: str = "post_id",
+    text: str = "raw_text",
+    scrubbed: str = "scrubbed_text",
+    examples: int = 5,
 ) -> DataFrame:
-    """How many posts changed and how many bracket groups they gained: one row."""
+    """How many posts changed, what they gained, and the ids of those that gained most."""
     before, after = (F.coalesce(F.col(c), F.lit("")) for c in (text, scrubbed))
     gained = (bracket_count(after) - bracket_count(before)).alias("_gained")
-    rows = df.select(F.col(key), (before != after).alias("_modified"), gained)
+    rows = df.select(F.col(key).alias("_key"), (before != after).alias("_modified"), gained)
     replaced = F.when(F.col("_modified"), F.col("_gained"))
     return rows.agg(
         F.count(F.lit(1)).alias("total_texts"),
@@ -175,7 +190,6 @@ def modification_summary(
         F.try_divide(F.count_if("_modified"), F.count(F.lit(1))).alias("modification_rate"),
         F.avg(replaced).alias("avg_words_replaced"),
         F.max(replaced).alias("max_words_replaced"),
-        F.max_by(key, F.when(F.col("_modified"), F.struct("_gained", -F.col(key)))).alias(
-            "heaviest_post"
-        ),
+    ).transform(
+        _with_examples, rows.filter("_modified"), [-F.col("_gained"), F.col("_key")], examples
     )

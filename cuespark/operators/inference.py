@@ -22,6 +22,7 @@ from cuespark.operators.joins import join_many_to_one
 from cuespark.operators.label import apply_label_policy, label_prompt
 from cuespark.operators.scrub import apply_scrub_policy, scrub_prompt
 from cuespark.schema import RESPONSES, require_columns
+from cuespark.session import work_folder
 
 
 class TextBackend(Protocol):
@@ -31,6 +32,7 @@ class TextBackend(Protocol):
 
 
 Prompt = Callable[[Column], Column]
+_PENDING = "request_hash string, prompt string"
 
 
 def request_hash(prompt: Prompt, text: str) -> Column:
@@ -173,16 +175,18 @@ def run_backend(
     job loses one slice of work at most.
     """
     spark = posts.sparkSession
+    answers = read_answers(spark, store)
+    if retry_errors:
+        answers = answers.filter(F.col("error").isNull())
+    todo = pending(posts, prompt, answers, text)
+    if chunks > 1:  # posts are read and prompts hashed once, then slot by slot
+        slot = F.pmod(F.xxhash64("request_hash"), F.lit(chunks)).cast("int")
+        waiting = work_folder(spark, "pending")
+        todo.withColumn("slot", slot).write.partitionBy("slot").parquet(waiting)
+        todo = spark.read.schema(f"{_PENDING}, slot int").parquet(waiting)
     for chunk in range(chunks):
-        answers = read_answers(spark, store)
-        if retry_errors:
-            answers = answers.filter(F.col("error").isNull())
-        share = posts
-        if chunks > 1:
-            slot = F.pmod(F.xxhash64(request_hash(prompt, text)), F.lit(chunks))
-            share = posts.filter(slot == chunk)
-        todo = pending(share, prompt, answers, text)
-        ask(todo, make_backend, **options).write.mode("append").parquet(store)
+        share = todo.filter(F.col("slot") == chunk).drop("slot") if chunks > 1 else todo
+        ask(share, make_backend, **options).write.mode("append").parquet(store)
     return one_answer_each(read_answers(spark, store))
 
 

@@ -13,34 +13,21 @@ _MAX_HOT = 2_000
 _ROWS_PER_SPLIT = 500_000
 
 
-# Rows from which on hot keys are looked for in a part of the rows, and which part.
-_LARGE, _PART = 50_000_000, 64
-
-
 def hot_keys(
     df: DataFrame,
     key: str,
-    row_id: str,
     rows_per_split: int = _ROWS_PER_SPLIT,
     max_hot: int = _MAX_HOT,
-    large: int = _LARGE,
 ) -> list[tuple[object, int]]:
-    """(key, number of splits) of every hot key, at most 2 * `max_hot` of them.
+    """(key, number of splits) of every hot key, at most `max_hot` of them, by an exact count.
 
-    The answer only decides how rows are laid out, never which rows are joined.  In a large
-    table it is therefore taken from the rows in one slot of a hash of `row_id`; a hot key has
-    thousands of rows in it.
+    The count is aggregated inside the tasks first.
     """
-    total = df.count()
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     limit = max(rows_per_split, total // max_hot)
-    if total <= limit:
-        return []
-    part = _PART if total >= large else 1
-    looked_at = df.filter(F.pmod(F.xxhash64(row_id), F.lit(part)) == 0) if part > 1 else df
-    counts = looked_at.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    found = counts.filter((F.col("n") * part > limit) & F.col(key).isNotNull())
-    most = found.orderBy(F.desc("n")).limit(2 * max_hot).collect()
-    return [(r[key], -(-r["n"] * part // limit)) for r in most]
+    found = counts.filter((F.col("n") > limit) & F.col(key).isNotNull()).collect()
+    return [(r[key], -(-r["n"] // limit)) for r in found]
 
 
 def join_many_to_one(
@@ -55,17 +42,30 @@ def join_many_to_one(
     """Join rows that may repeat `key` to a table with one row per key.
 
     Rows of a hot key are spread over several tasks by a hash of `spread_by` (a row
-    identifier, so a retried task repeats its choice); the matching row is copied as often.
+    identifier, so a retried task repeats its choice); the matching row is copied as often.  Rows
+    without a key have no partner and pass the join by.
     """
     require_columns(many, key, spread_by)
     require_columns(one, key)
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    hot = hot_keys(many.select(key, spread_by), key, spread_by, rows_per_split, max_hot)
+    keyed = many.filter(F.col(key).isNotNull())
+    joined = _joined(keyed, one, key, spread_by, how, rows_per_split, max_hot)
+    if how == "inner":
+        return joined
+    kinds = {f.name: f.dataType for f in one.schema}
+    alone = many.filter(F.col(key).isNull()).select(
+        "*", *(F.lit(None).cast(kinds[c]).alias(c) for c in one.columns if c != key)
+    )
+    return joined.unionByName(alone)
+
+
+def _joined(many, one, key, spread_by, how, rows_per_split, max_hot) -> DataFrame:
+    hot = hot_keys(many, key, rows_per_split, max_hot)
     if not hot:
         return many.join(one, key, how)
     kind = many.schema[key].dataType.simpleString()
-    # At most 2 * max_hot rows by construction.
+    # At most max_hot rows by construction.
     splits = F.broadcast(
         many.sparkSession.createDataFrame(hot, f"{key} {kind}, _splits bigint")
     )

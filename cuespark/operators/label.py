@@ -60,21 +60,19 @@ def apply_label_policy(
     )
 
 
-def mentions(text: Column, words: list[str]) -> Column:
-    """True if one of the words occurs; stops at the first hit."""
-    return text.rlike(any_word(words))
-
-
 def cues(text: Column) -> Column:
     """All gendered words of a text, lower-cased, in order."""
     pattern = any_word(lexicon.words_of())
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
-def rule_gender(text: Column) -> Column:
-    """FEMALE / MALE if only that side is mentioned, else NEUTRAL."""
-    female = mentions(text, lexicon.words_of(FEMALE))
-    male = mentions(text, lexicon.words_of(MALE))
+def rule_gender(found: Column) -> Column:
+    """FEMALE / MALE if the cues found are of that side only, else NEUTRAL."""
+
+    def side(words: list[str]) -> Column:
+        return F.arrays_overlap(found, F.array(*map(F.lit, words)))
+
+    female, male = side(lexicon.words_of(FEMALE)), side(lexicon.words_of(MALE))
     return (
         F.when(female & ~male, F.lit(FEMALE)).when(male & ~female, F.lit(MALE)).otherwise(NEUTRAL)
     )
@@ -92,7 +90,7 @@ def label_posts(df: DataFrame, text: str = "raw_text") -> DataFrame:
     return df.select(
         *df.columns,
         *([] if text == "text" else [column.alias("text")]),
-        F.when(empty, F.lit(NEUTRAL)).otherwise(rule_gender(column)).alias("gender"),
+        F.when(empty, F.lit(NEUTRAL)).otherwise(rule_gender(found)).alias("gender"),
         F.when(empty, F.lit("Empty text"))
         .otherwise(F.concat(F.lit("cues: "), F.array_join(F.array_sort(found), " ")))
         .alias("reasoning"),

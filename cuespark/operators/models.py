@@ -144,18 +144,14 @@ def train_models(
 ) -> tuple[dict[str, object], dict[str, dict]]:
     """Fit every estimator; a failure is recorded and the others go on.
 
-    The network is not cross-validated; it is trained on 80 % of the training rows, as a
-    validation part is set aside for it.
+    The network is trained on all training rows and not cross-validated.
     """
     models, results = {}, {}
     folded = None
     for name, estimator in estimators.items():
         try:
             mean = std = None
-            if name == MLP:
-                parts = stratified_split(data.train, target, key, 0.2, f"{seed}-validation")
-                model = estimator.fit(parts.filter(F.col("split") == "train"))
-            elif cv_folds:
+            if cv_folds and name != MLP:
                 if folded is None:
                     folded = stratified_folds(data.train, target, key, cv_folds, seed).persist()
                 validated = cross_validator(estimator, folds=cv_folds).fit(folded)
@@ -175,7 +171,7 @@ def train_models(
 
 
 def _short(problem: Exception) -> str:
-    return (str(problem).strip().splitlines() or [type(problem).__name__])[0][:500]
+    return str(problem).strip() or type(problem).__name__
 
 
 def predict(models: dict[str, object], data: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -251,19 +247,35 @@ def compare_methods(
     key: str = "vec_id",
     cv_folds: int | None = 5,
     seed: int = 42,
+    save_to: str | None = None,
 ) -> DataFrame:
-    """Result rows of every `method` in a table; the data of a method is one partition of it."""
+    """Result rows of every `method` in a table; the data of a method is one partition of it.
+
+    With `save_to`, the models of each method are saved in a folder of its name.
+    """
     rows = []
     for method in sorted(class_counts(df, "method")):
         part = df.filter(F.col("method") == method)
-        rows += run_method(part, method, make_estimators, target, key, cv_folds, seed)[0]
+        found, fitted, preprocessing = run_method(
+            part, method, make_estimators, target, key, cv_folds, seed
+        )
+        rows += found
+        if save_to and preprocessing is not None:
+            fit = {
+                r[1]: {"cv_accuracy_mean": r[3], "cv_accuracy_std": r[4], "training_samples": r[5],
+                       "error": None if r[1] in fitted else r[9]}
+                for r in found
+            }
+            save_models(df.sparkSession, f"{save_to}/{method}", fitted, preprocessing, fit)
     return df.sparkSession.createDataFrame(rows, RESULTS)
 
 
 def comparison(results: DataFrame) -> DataFrame:
     """Best model per method with the dimension of its vectors."""
+    failed = F.max("model").isNull()  # a method fails as a whole, or it has models
     dims = results.groupBy("method").agg(
-        F.max("dimension").alias("embedding_dimension"), F.first("error", True).alias("error")
+        F.max("dimension").alias("embedding_dimension"),
+        F.when(failed, F.min("error")).alias("error"),
     )
     return best_model(results.filter(F.col("model").isNotNull())).join(dims, "method", "right")
 
@@ -298,13 +310,16 @@ def tune(
     """Grid search: best parameters and score, all scores, and the refitted `{name}_tuned`."""
     estimators = estimators or registry(data.dim, len(data.classes), seed)
     if name not in estimators:
-        raise ValueError(f"Model {name} not available")
+        raise ValueError(f"there is no model called {name}; choose from {list(estimators)}")
     estimator = estimators[name]
     grid = grid or param_grid(name, estimator)
     if grid is None:
         return {}
-    folded = stratified_folds(data.train, target, key, cv_folds, seed)
-    found = cross_validator(estimator, grid, cv_folds).fit(folded)
+    try:
+        folded = stratified_folds(data.train, target, key, cv_folds, seed)
+        found = cross_validator(estimator, grid, cv_folds).fit(folded)
+    except Exception as problem:  # reported like a failed training
+        return {"error": _short(problem)}
     scores = [float(m) for m in found.avgMetrics]
     best = max(range(len(scores)), key=scores.__getitem__)
     readable = [{p.name: v for p, v in params.items()} for params in grid]
@@ -334,7 +349,7 @@ def save_models(
     rows = [
         (n, _slug(n), r.get("cv_accuracy_mean"), r.get("cv_accuracy_std"),
          r.get("training_samples"), r.get("error"))
-        for n in models
+        for n in {**models, **(results or {})}
         for r in [(results or {}).get(n, {})]
     ]
     spark.createDataFrame(rows, _CATALOG).coalesce(1).write.mode("overwrite").json(
@@ -354,10 +369,12 @@ def load_models(spark: SparkSession, path: str):
         rows = spark.read.schema(_CATALOG).json(f"{path}/catalog").collect()
     except Exception as problem:
         if "PATH_NOT_FOUND" in str(problem):
-            raise FileNotFoundError(f"Model directory not found: {path}") from problem
+            raise FileNotFoundError(f"no saved models below {path}") from problem
         raise
     models = {
-        r["name"]: PipelineModel.load(f"{path}/models/{r['folder']}").stages[0] for r in rows
+        r["name"]: PipelineModel.load(f"{path}/models/{r['folder']}").stages[0]
+        for r in rows
+        if r["error"] is None
     }
     results = {
         r["name"]: {k: v for k, v in r.asDict().items() if k not in ("name", "folder")}

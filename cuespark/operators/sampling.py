@@ -16,19 +16,18 @@ from pyspark.sql import functions as F
 from cuespark.functions.hashing import seeded_key, seeded_unit
 from cuespark.schema import require_columns
 
-# Rows one task may sort for a sample; a larger sample is cut out by a filter.
-_TOP_ROWS = 10_000
 # A hash bucket with more rows than this is divided again before its rows are ranked.
 _RANK_ROWS = 100_000
-# Class counts and cuts are driver-side reports with one row per class.
-_MAX_CLASSES = 100_000
+# Default bound of classes: counts and cuts are driver-side reports with one row per class.
+MAX_CLASSES = 100_000
 
 
 def sample_rows(df: DataFrame, n: int, key: str = "post_id", seed: int = 42) -> DataFrame:
-    """Exactly min(n, rows) rows, the same ones in every run; `key` must identify rows.
+    """Exactly min(n, rows) rows, the first in the order of (hash of the key, hash of the row).
 
-    A histogram of the hashes bounds the candidates first: what is sorted in the end is little
-    more than n rows, however many tasks the table has.
+    The same for every n: all rows below the n-th smallest hash are a filter, without shuffle or
+    sort; of the rows that have just this hash, one if keys identify rows, the first are added.
+    Rows that are equal in every column are interchangeable.
     """
     require_columns(df, key)
     hashed = seeded_key(F.col(key), seed)
@@ -36,11 +35,11 @@ def sample_rows(df: DataFrame, n: int, key: str = "post_id", seed: int = 42) ->
     open_ends = _close_in(narrow, [("", n)])
     if not open_ends:  # no n-th row: all rows are the sample
         return df
-    if n > _TOP_ROWS:
-        return df.filter(hashed <= _rank(narrow, open_ends)[("", n)])
-    bucket = open_ends[0][2]
-    near = df.withColumn("_h", hashed).filter(F.substring("_h", 1, len(bucket)) <= bucket)
-    return near.orderBy("_h").limit(n).drop("_h")
+    cut = _rank(narrow, open_ends)[("", n)]
+    below = narrow.filter(F.col("_h") < cut).count()
+    at_cut = df.filter(hashed == cut)
+    row = F.xxhash64(*(F.to_json(F.struct(c)) if "map" in t else F.col(c) for c, t in df.dtypes))
+    return df.filter(hashed < cut).unionByName(at_cut.orderBy(row).limit(n - below))
 
 
 def sample_fraction(
@@ -50,11 +49,11 @@ def sample_fraction(
     return require_columns(df, key).filter(seeded_unit(F.col(key), seed) < fraction)
 
 
-def class_counts(df: DataFrame, label: str) -> dict[str, int]:
-    """Rows per class, in label order."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(_MAX_CLASSES + 1).collect()
-    if len(rows) > _MAX_CLASSES:
-        raise ValueError(f"'{label}' has more than {_MAX_CLASSES} values; it is not a class label")
+def class_counts(df: DataFrame, label: str, most: int = MAX_CLASSES) -> dict[str, int]:
+    """Rows per class, in label order; ValueError beyond `most` classes."""
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"'{label}' has more than {most} values; it is not a class label")
     if any(r[label] is None for r in rows):
         raise ValueError(f"'{label}' has missing values; drop or fill them first")
     return {r[label]: r["n"] for r in sorted(rows, key=lambda r: r[label])}
@@ -139,7 +138,7 @@ def _by_segment(
         [(c, [cuts[(c, r)] for r in ranks]) for c, ranks in ends.items()],
         f"_s {kind}, _cuts array<string>",
     )
-    # One row per class, at most _MAX_CLASSES of them.
+    # One row per class, at most MAX_CLASSES of them.
     joined = df.withColumn("_h", hashed).join(
         F.broadcast(table), F.col(label) == F.col("_s"), "left"
     )

@@ -12,9 +12,6 @@ from cuespark.functions.responses import parse_scrub
 from cuespark.functions.text import SPACE, WORD, alternation, any_word
 from cuespark.schema import require_columns
 
-# A name list up to this length is searched as one alternation; a longer one by hash lookup.
-_ALTERNATION_NAMES = 50
-
 _PROMPT_HEAD = (
     "Rewrite a forum post so that it no longer shows the gender of the people it discusses.\n"
     "Use these placeholders:\n"
@@ -54,17 +51,21 @@ def scrub_kinship(text: Column) -> Column:
 
 
 def scrub_names(text: Column, names: list[str] | None = None) -> Column:
-    """Names as written.  A long list is looked up word by word in a hash set, not searched."""
+    """Names as written, of one word or several; the longest that fits.
+
+    The list, of any length, is one prefix tree.
+    """
     names = lexicon.NAMES if names is None else names
-    if not names:
-        return text
-    if len(names) <= _ALTERNATION_NAMES:
-        return _swap(text, names, lexicon.NAME, ignore_case=False)
-    pieces = F.regexp_extract_all(text, F.lit(f"{WORD}+|[^\\p{{L}}\\p{{N}}_]+"), F.lit(0))
-    swapped = F.transform(
-        pieces, lambda p: F.when(p.isin(*names), F.lit(lexicon.NAME)).otherwise(p)
-    )
-    return F.array_join(swapped, "")
+    return _swap(text, names, lexicon.NAME, ignore_case=False) if names else text
+
+
+def names_of(table: DataFrame, column: str = "name", most: int = 100_000) -> list[str]:
+    """The distinct names of a table; ValueError beyond `most`, since they enter the plan."""
+    rows = table.select(F.trim(column).alias("n")).filter("n <> ''").distinct().limit(most + 1)
+    names = sorted(r["n"] for r in rows.collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} names")
+    return names
 
 
 def scrub_titles(text: Column) -> Column:
@@ -118,7 +119,7 @@ def scrub(text: Column, names: list[str] | None = None) -> Column:
     joined again with a placeholder per cue.  Gives what `scrub_stepwise` gives.
     """
     names = lexicon.NAMES if names is None else names
-    if len(names) > _ALTERNATION_NAMES or any(n.lower() in _PLACEHOLDERS for n in names):
+    if any(n.lower() in _PLACEHOLDERS for n in names):
         return scrub_stepwise(text, names)
     pattern = _cue_pattern(names)
     known = F.create_map(*[F.lit(x) for pair in _PLACEHOLDERS.items() for x in pair])

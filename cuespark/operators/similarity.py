@@ -129,7 +129,7 @@ def embedding_report(
 ) -> DataFrame:
     """Health of an embedding table from a seeded sample: size, dimension, norms, similarity.
 
-    The sample is folded into one row, so that everything comes from one scan.
+    Pairs are made of its ten first keys; no more vectors than these come together in a task.
     """
     sample = sample_rows(df.select(key, column), sample_size, key, seed)
     length = norm(F.col(column))
@@ -138,8 +138,12 @@ def embedding_report(
         F.max(F.size(column)).cast("bigint").alias("embedding_dimension"),
         F.avg(length).alias("avg_norm"),
         F.stddev_pop(length).alias("std_norm"),
-        F.array_sort(F.collect_list(F.struct(key, column))).alias("_v"),
     )
+    first = sample.orderBy(key).limit(10).agg(
+        F.array_sort(F.collect_list(F.struct(key, column))).alias("_v")
+    )
+    both = one_row.unionByName(first, allowMissingColumns=True)
+    one_row = both.agg(*(F.max(c).alias(c) for c in both.columns))
     stats = [c for c in one_row.columns if c != "_v"]
     pairs = one_row.select(*stats, F.inline_outer(_pairs("_v", 10)))
     similarity = cosine(F.col(f"a.{column}"), F.col(f"b.{column}"))

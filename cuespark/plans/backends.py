@@ -49,6 +49,15 @@ class BracketBackend:
         ]
 
 
+class FailingEncoder:
+    """A digest encoder whose calls fail for texts of even length."""
+
+    def embed_batch(self, texts: list[str]) -> np.ndarray:
+        if any(len(t) % 2 == 0 for t in texts):
+            raise RuntimeError("no answer")
+        return DigestEncoder().embed_batch(texts)
+
+
 class DigestEncoder:
     """Eight components in [-1, 1] from a digest of the whole text."""
 

@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 
 from cuespark.operators.scrub import scrub
 from cuespark.schema import FEMALE, MALE, NEUTRAL
-from cuespark.sources.tables import spread
 
 CUE_SENTENCES = [
     ("My wife said she would bring her notes to the meeting.", FEMALE),
     ("His brother told him that he was late.", MALE),
-    ("The seminar was productive and everyone contributed.", NEUTRAL),
+    ("Mary Ann thanked O'Brien and Jean-Luc for the slides of the seminar.", NEUTRAL),
     ("Mr. Smith and Mrs. Jones met John at noon.", NEUTRAL),
     ("She told her mother that HE saw himself in it.", FEMALE),
     ("Sarah and her sister thanked the lady herself.", FEMALE),
     ("A gentleman asked his son, and his son agreed.", MALE),
     ("Candidates [ranked] by field; nobody replied to ms.jones.", NEUTRAL),
 ]
+# Setting: deal the documents to so many tasks.  For tables of one file on one machine, as in
+# bench.py; unset, no text is shuffled.
+TASKS = "cuespark.example.tasks"
 BLANK_TEXT = " \t\n\u00a0 "
 
 
@@ -55,7 +57,10 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").cast("double").alias("female_pred"),
     )
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return posts_of_documents(spread(documents, "doc_id")).unionByName(withdrawn)
+    tasks = spark.conf.get(TASKS, None)
+    if tasks:
+        documents = documents.repartition(int(tasks), "doc_id")
+    return posts_of_documents(documents).unionByName(withdrawn)
 
 
 def _pick(shapes: list[Column], key: str = "post_id") -> Column:
@@ -106,7 +111,7 @@ def with_scrub_answers(df: DataFrame) -> DataFrame:
         F.concat(F.lit("  "), good, F.lit("\n")),
         F.lit('{"scrubbed_text": 123}'),
         F.lit('{"scrubbed_text": ""}'),
-        F.lit('{"other_field": "some value"}'),
+        F.lit('{"note": "kept short"}'),
         F.concat(good, F.lit(" extra")),
         F.lit("Invalid JSON"),
         F.lit("[2]"),

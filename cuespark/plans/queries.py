@@ -14,7 +14,7 @@ from cuespark.operators import audit, embed, evaluate, filters, inference, joins
 from cuespark.operators import prepare as prep
 from cuespark.operators import sampling, scrub, similarity
 from cuespark.plans import corpus
-from cuespark.plans.backends import BracketBackend, CueBackend, DigestEncoder
+from cuespark.plans.backends import BracketBackend, CueBackend, DigestEncoder, FailingEncoder
 from cuespark.session import stored, work_folder
 from cuespark.sources import tables
 from cuespark.streaming import incremental
@@ -101,7 +101,7 @@ def pack_embedding(spark, sf_dir):
     return packed.select(
         "vec_id",
         F.size("embedding").cast("bigint").alias("dimension"),
-        *[_r6(F.col("embedding")[i].cast("double")).alias(f"e{i}") for i in (0, 2, 10, 63)],
+        *[_r6(F.col("embedding")[i].cast("double")).alias(f"e{i}") for i in range(64)],
     )
 
 
@@ -237,9 +237,10 @@ def scrub_names(spark, sf_dir):
 
 @query
 def scrub_names_long(spark, sf_dir):
-    """A name list too long for one pattern: every distinct name below is looked up by hash."""
-    made_up = [f"Name{i}" for i in range(100)]
-    return _one_step(spark, sf_dir, lambda t: scrub.scrub_names(t, ["John", "Sarah", *made_up]))
+    """Over a thousand names, with some of two words, a hyphen or an apostrophe in the texts."""
+    made_up = [f"Name{i}" for i in range(1200)]
+    names = ["Mary Ann", "Mary", "O'Brien", "Jean-Luc", "John", "Sarah", *made_up]
+    return _one_step(spark, sf_dir, lambda t: scrub.scrub_names(t, names))
 
 
 @query
@@ -324,13 +325,15 @@ def scrub_issues_all(spark, sf_dir):
 
 @query
 def scrub_issue_rate(spark, sf_dir):
-    return _rounded(audit.issue_rate(_scrubbed(spark, sf_dir)), "issue_rate")
+    summary = _rounded(audit.issue_rate(_scrubbed(spark, sf_dir)), "issue_rate")
+    return summary.withColumn("examples", F.array_join("examples", " "))
 
 
 @query
 def scrub_modification(spark, sf_dir):
     summary = audit.modification_summary(_scrubbed(spark, sf_dir))
-    return _rounded(summary, "modification_rate", "avg_words_replaced")
+    rounded = _rounded(summary, "modification_rate", "avg_words_replaced")
+    return rounded.withColumn("examples", F.array_join("examples", " "))
 
 
 # Samples and splits.
@@ -385,7 +388,7 @@ def attach_embeddings(spark, sf_dir):
     vecs = corpus.vectors(spark, sf_dir).select(F.col("vec_id").alias("post_id"), "embedding")
     both = embed.attach_embeddings(kept, vecs)
     return both.select("post_id", "gold", *[
-        _r6(F.col("embedding")[i].cast("double")).alias(f"e{i}") for i in (0, 63)
+        _r6(F.col("embedding")[i].cast("double")).alias(f"e{i}") for i in range(64)
     ])
 
 
@@ -447,7 +450,23 @@ def embed_external(spark, sf_dir):
         corpus.posts(spark, sf_dir).select("post_id", "raw_text"),
         DigestEncoder, DigestEncoder.dim, "digest", text="raw_text",
     )
-    return _components(made, 8).drop("raw_text")
+    return _components(made, 8).drop("raw_text", "embed_error")
+
+
+@query
+def embed_store(spark, sf_dir):
+    """A first run whose calls fail for texts of even length, a second one that asks them again."""
+    posts = corpus.posts(spark, sf_dir).select("post_id", "raw_text")
+    store, dim = work_folder(spark, "vectors"), DigestEncoder.dim
+    first = embed.embed_external(
+        posts, FailingEncoder, dim, "digest", text="raw_text", store=store
+    )
+    failed = stored(first.filter("embed_error IS NOT NULL").select("post_id"), "failed")
+    again = embed.embed_external(
+        posts, DigestEncoder, dim, "digest", text="raw_text", store=store, retry_errors=True
+    )
+    both = again.join(failed.withColumn("first_run", F.lit("failed")), "post_id", "left")
+    return _components(both, 8).drop("raw_text")
 
 
 @query
@@ -502,6 +521,55 @@ def method_catalog(spark, sf_dir):
     return tables.method_catalog(spark.read.parquet(path))
 
 
+# Files.
+
+
+def _file_trip(spark, sf_dir, suffix: str) -> DataFrame:
+    shown = corpus.posts(spark, sf_dir).select("post_id", "raw_text", "female_pred")
+    path = work_folder(spark, "files") + suffix
+    tables.write_table(shown, path)
+    return tables.read_table(spark, path, schema=shown.schema)
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    return _file_trip(spark, sf_dir, ".csv")
+
+
+@query
+def json_round_trip(spark, sf_dir):
+    return _file_trip(spark, sf_dir, ".json")
+
+
+@query
+def report_round_trip(spark, sf_dir):
+    counts = label_counts(spark, sf_dir)
+    path = work_folder(spark, "reports") + ".json"
+    tables.write_report(counts, path)
+    return tables.read_report(spark, path, counts.schema)
+
+
+@query
+def import_wide(spark, sf_dir):
+    """Wide vectors from CSV files; one cell is no number, and a second file has none at all."""
+    folder = work_folder(spark, "wide")
+    wide = unpack(corpus.vectors(spark, sf_dir), "full", 64)
+    bad = F.when(F.col("vec_id") == 3, F.lit("oops")).otherwise(
+        F.col("full_embed_5").cast("string")
+    )
+    cells = wide.withColumn("full_embed_5", bad).repartition(1)
+    tables.write_table(cells, f"{folder}/good.csv")
+    words = wide.select("vec_id", F.lit("none").alias("bad_embed_0")).repartition(1)
+    tables.write_table(words, f"{folder}/bad.csv")
+    found, skipped = tables.import_wide_embeddings(spark, folder)
+    lost = F.size(F.filter("embedding", lambda x: x.isNull())).cast("bigint")
+    shown = _components(found.withColumn("lost_cells", lost), 64)
+    return shown.select(
+        F.col("vec_id").cast("bigint").alias("vec_id"), *[f"c{i}" for i in range(64)], "lost_cells",
+        F.lit(len(skipped)).cast("bigint").alias("n_skipped"),
+    )
+
+
 # Features and metrics.
 
 
@@ -673,9 +741,7 @@ def grid_search(spark, sf_dir):
 def _document_stream(spark, sf_dir) -> DataFrame:
     schema = corpus.table(spark, sf_dir, "documents").schema
     arriving = incremental.post_stream(spark, sf_dir, schema, "documents.parquet")
-    return incremental.label_and_scrub(
-        corpus.posts_of_documents(arriving), tasks=spark.sparkContext.defaultParallelism
-    )
+    return incremental.label_and_scrub(corpus.posts_of_documents(arriving))
 
 
 @query
@@ -690,8 +756,8 @@ def stream_label_scrub(spark, sf_dir):
 
 @query
 def stream_label_counts(spark, sf_dir):
-    name = "stream_label_counts_table"
+    sink = work_folder(spark, "stream-counts")
     incremental.run_label_counts(
-        _document_stream(spark, sf_dir), name, work_folder(spark, "stream-checkpoint")
+        _document_stream(spark, sf_dir), sink, work_folder(spark, "stream-checkpoint")
     ).awaitTermination()
-    return spark.table(name).select("gender", F.col("count").alias("n"))
+    return incremental.latest_counts(spark, sink).select("gender", F.col("count").alias("n"))

@@ -109,10 +109,14 @@ def embed_stage(
     encoders: dict[str, tuple[Callable, int]] | None = None,
     sample_size: int | None = None,
     seed: int = 42,
+    store: str | None = None,
+    **options,
 ) -> DataFrame:
     """Embed with every method asked for; one Parquet partition per method.
 
     `methods` are lexical (name -> strategy), `encoders` external (name -> maker, dimension).
+    Vectors of encoders are kept below `store`, one folder per name, so that a run that was
+    stopped goes on; `options` go to `embed_external` (retry_errors, requests_per_minute, ...).
     """
     require_columns(df, text, key)
     if sample_size:
@@ -121,7 +125,9 @@ def embed_stage(
         write_embeddings(embed_methods(df, text, methods), out)
     for number, (name, (make, dim)) in enumerate((encoders or {}).items()):
         mode = "append" if methods or number else "overwrite"
-        write_embeddings(embed_external(df, make, dim, name, key, text), out, mode)
+        kept = f"{store}/{name}" if store else None
+        made = embed_external(df, make, dim, name, key, text, store=kept, **options)
+        write_embeddings(made, out, mode)
     return df.sparkSession.read.parquet(out)
 
 
@@ -142,7 +148,9 @@ def train_stage(
         df = filters.binary_only(df, target)
     spark = df.sparkSession
     if method is None:
-        results = models.compare_methods(df, make_estimators, target, key, cv_folds, seed)
+        results = models.compare_methods(
+            df, make_estimators, target, key, cv_folds, seed, save_to=f"{out}/models"
+        )
         write_table(results, f"{out}/results.parquet")
         stored = spark.read.parquet(f"{out}/results.parquet")
         write_report(models.comparison(stored), f"{out}/training_results.json")

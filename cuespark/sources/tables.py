@@ -75,16 +75,6 @@ def _read_csv(spark, path: str, schema: T.StructType | None, multiline: bool) ->
     return raw.select(*[cell(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table stored in fewer splits than there are cores.
-
-    Text work is bound by the processor, and a file with one row group is one task.  A table
-    with enough splits, as any large one has, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def write_table(
     df: DataFrame,
     path: str,
@@ -103,8 +93,11 @@ def write_table(
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a small report table as one JSON file; NULL fields are kept."""
-    df.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """Write a small report table as one JSON file; NULL fields are kept.
+
+    The rows are shuffled into one task; what makes them keeps its own tasks.
+    """
+    df.repartition(1).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def read_report(
@@ -128,23 +121,26 @@ def import_wide_embeddings(
 ) -> tuple[DataFrame, dict[str, str]]:
     """All wide embedding files of a folder as one table with `method` and `embedding`.
 
-    One file is one method, named by its stem.  Unusable files are skipped and returned with
-    the reason.
+    One file, or one folder that Spark has written, is one method, named by its stem.  Unusable files are skipped and returned with
+    the reason; a cell that is no number is NULL in its vector (see `lost_cells`).
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    paths = sorted(r["path"] for r in listing.select("path").collect())  # one row per method
+    options = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
+    listing = spark.read.format("binaryFile").options(**options).load(folder)
+    root = os.path.basename(folder.rstrip("/"))
+    below = F.substring_index("path", f"/{root}/", -1)
+    named = listing.select(F.substring_index(below, "/", 1).alias("name")).distinct()
     tables, skipped = [], {}
-    for path in paths:
-        method = os.path.splitext(os.path.basename(path))[0]
+    for name in sorted(r["name"] for r in named.collect()):  # one row per method
+        method = os.path.splitext(name)[0]
         try:
-            wide = read_table(spark, path)
+            wide = read_table(spark, f"{folder.rstrip('/')}/{name}", "csv")
             numbers = feature_columns(wide)
             packed = pack(wide, numbers)
-            tables.append(
-                packed.withColumn("embedding", F.col("embedding").cast("array<float>")).withColumn(
-                    "method", F.lit(method)
-                )
-            )
+            cells = F.transform("embedding", lambda x: x.try_cast("float"))
+            usable = packed.filter(F.exists(cells, lambda x: x.isNotNull()))
+            if usable.isEmpty():
+                raise ValueError("no cell of its embedding columns is a number")
+            tables.append(packed.withColumns({"embedding": cells, "method": F.lit(method)}))
         except Exception as problem:
             skipped[method] = str(problem).splitlines()[0]
     if not tables:
@@ -152,6 +148,12 @@ def import_wide_embeddings(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables), skipped
 
 
+def lost_cells(df: DataFrame) -> DataFrame:
+    """(method, lost_cells): cells of an imported table that are missing or were no number."""
+    lost = F.size(F.filter("embedding", lambda x: x.isNull()))
+    return df.groupBy("method").agg(F.sum(lost).cast("bigint").alias("lost_cells"))
+
+
 def write_embeddings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One Parquet folder per method, so that a method is read without the others."""
     df.write.mode(mode).partitionBy("method").parquet(path)

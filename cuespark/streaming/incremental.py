@@ -7,6 +7,7 @@ committed batch, and the file sink makes every batch visible exactly once.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,15 +36,12 @@ def label_and_scrub(
     key: str = "post_id",
     event_time: str | None = None,
     delay: str = "1 day",
-    tasks: int | None = None,
 ) -> DataFrame:
     """Stateless labelling and scrubbing.
 
     With an event time, posts delivered again within `delay` are dropped; the watermark bounds
-    the state that needs.  `tasks` spreads files with few splits over that many tasks.
+    the state that needs.
     """
-    if tasks:
-        posts = posts.repartition(tasks, key)
     kept = drop_blank_text(posts, text)
     if event_time:
         kept = kept.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
@@ -61,15 +59,28 @@ def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQu
     )
 
 
-def run_label_counts(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Running label counts: state of one row per label, kept in the memory table `name`."""
+def run_label_counts(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Running label counts: state of one row per label, one folder of `sink` per batch.
+
+    A batch that runs again after a failure replaces its own folder.
+    """
+
+    def keep(counts: DataFrame, batch: int) -> None:
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+
     return (
         stream.groupBy("gender")
         .count()
-        .writeStream.format("memory")
-        .queryName(name)
+        .writeStream.foreachBatch(keep)
         .outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def latest_counts(spark: SparkSession, sink: str) -> DataFrame:
+    """(gender, count) as of the last batch."""
+    counts = spark.read.parquet(sink)
+    last = counts.agg(F.max("batch")).first()[0]
+    return counts.filter(F.col("batch") == last).drop("batch")

@@ -358,7 +358,7 @@ ORACLES: dict[str, str] = {
         f"{r6(f'embedding[{i + 1}]::DOUBLE')} AS full_embed_{i}" for i in range(64)
     ) + " FROM vectors",
     "pack_embedding": with_(VECTORS) + "SELECT vec_id, len(embedding) AS dimension, " + ", ".join(
-        f"{r6(f'embedding[{i + 1}]::DOUBLE')} AS e{i}" for i in (0, 2, 10, 63)
+        f"{r6(f'embedding[{i + 1}]::DOUBLE')} AS e{i}" for i in range(64)
     ) + " FROM vectors",
     "label_requests": with_(POSTS) + f"""SELECT post_id, length(p) AS n_chars, md5(p) AS h FROM (
       SELECT post_id, CASE WHEN raw_text <> '' THEN
@@ -411,7 +411,8 @@ ORACLES: dict[str, str] = {
     "scrub_pronouns": scrub_step(sql_pronouns),
     "scrub_kinship": scrub_step(sql_kinship),
     "scrub_names": scrub_step(sql_names),
-    "scrub_names_long": scrub_step(lambda t: sql_names(t, ("John", "Sarah"))),
+    "scrub_names_long": scrub_step(lambda t: sql_names(
+        t, ("Mary Ann", "Mary", "O''Brien", "Jean-Luc", "John", "Sarah"))),
     "scrub_titles": scrub_step(sql_titles),
     "scrub_posts": with_(POSTS, SCRUBBED) + "SELECT post_id, raw_text, scrubbed_text FROM scrubbed",
     "scrub_posts_backend": with_(POSTS) + f"""SELECT post_id, scrubbed_text,
@@ -451,7 +452,9 @@ ORACLES: dict[str, str] = {
       found AS ({audit_sql('scrubbed', 'post_id', 'scrubbed_text')}),
       per_post AS (SELECT post_id, count(*) FILTER (len(found) > 0) AS n FROM found GROUP BY post_id)
       SELECT count(*) AS total_texts, count(*) FILTER (n > 0) AS texts_with_issues,
-        CAST(sum(n) AS BIGINT) AS total_issues, {r6('count(*) FILTER (n > 0) / count(*)')} AS issue_rate
+        CAST(sum(n) AS BIGINT) AS total_issues, {r6('count(*) FILTER (n > 0) / count(*)')} AS issue_rate,
+        array_to_string((SELECT list(post_id ORDER BY post_id) FROM (SELECT post_id FROM per_post
+          WHERE n > 0 ORDER BY post_id LIMIT 5)), ' ') AS examples
       FROM per_post""",
     "scrub_modification": with_(POSTS, SCRUBBED) + f""",
       gained AS (SELECT post_id, raw_text <> scrubbed_text AS m,
@@ -459,7 +462,8 @@ ORACLES: dict[str, str] = {
       SELECT count(*) AS total_texts, count(*) FILTER (m) AS texts_modified,
         {r6('count(*) FILTER (m) / count(*)')} AS modification_rate,
         {r6('avg(g) FILTER (m)')} AS avg_words_replaced, max(g) FILTER (m) AS max_words_replaced,
-        (SELECT post_id FROM gained WHERE m ORDER BY g DESC, post_id LIMIT 1) AS heaviest_post
+        array_to_string((SELECT list(post_id ORDER BY g DESC, post_id) FROM (SELECT * FROM gained
+          WHERE m ORDER BY g DESC, post_id LIMIT 5)), ' ') AS examples
       FROM gained""",
     "sample_posts": with_(POSTS, KEPT)
     + f"SELECT post_id, raw_text FROM kept ORDER BY {seeded('post_id', 42)} LIMIT 500",
@@ -477,8 +481,8 @@ ORACLES: dict[str, str] = {
     "stratified_kfold": with_(VECTORS, FOLDS) + "SELECT vec_id, gender, fold FROM folds",
     "class_distribution": with_(VECTORS, split_ctes("vectors", "vec_id", 42))
     + "SELECT split, gender, count(*) AS n FROM parts GROUP BY ALL",
-    "attach_embeddings": with_(POSTS) + f"""SELECT post_id, gold,
-      {r6('embedding[1]::DOUBLE')} AS e0, {r6('embedding[64]::DOUBLE')} AS e63
+    "attach_embeddings": with_(POSTS) + f"""SELECT post_id, gold, {", ".join(
+        f"{r6(f'embedding[{i + 1}]::DOUBLE')} AS e{i}" for i in range(64))}
       FROM posts LEFT JOIN embeddings ON post_id = vec_id WHERE raw_text IS NOT NULL""",
     "thread_sizes": with_(POSTS)
     + "SELECT thread_id, post_id, count(*) OVER (PARTITION BY thread_id) AS n_posts FROM posts",
@@ -506,6 +510,21 @@ ORACLES: dict[str, str] = {
       SELECT post_id, 'digest' AS method, {", ".join(
           f"{r6(f'({digest_component(chr(104), j)} / 32767.5 - 1.0)::FLOAT::DOUBLE')} AS c{j}" for j in range(8)
       )} FROM hashed""",
+    "embed_store": with_(POSTS) + f""",
+      cleaned AS (SELECT post_id,
+        {strip('replace(coalesce(raw_text, chr(32)), chr(10), chr(32))')} AS t FROM posts),
+      hashed AS (SELECT *, md5(t) AS h FROM cleaned)
+      SELECT post_id, 'digest' AS method, NULL::VARCHAR AS embed_error,
+        CASE WHEN length(t) % 2 = 0 THEN 'failed' END AS first_run, {", ".join(
+          f"{r6(f'({digest_component(chr(104), j)} / 32767.5 - 1.0)::FLOAT::DOUBLE')} AS c{j}" for j in range(8)
+      )} FROM hashed""",
+    "csv_round_trip": with_(POSTS) + "SELECT post_id, raw_text, female_pred FROM posts",
+    "json_round_trip": with_(POSTS) + "SELECT post_id, raw_text, female_pred FROM posts",
+    "import_wide": with_(VECTORS) + "SELECT vec_id, (vec_id = 3)::BIGINT AS lost_cells, 1::BIGINT AS n_skipped, "
+    + ", ".join(
+        f"CASE WHEN {i} <> 5 OR vec_id <> 3 THEN {r6(f'embedding[{i + 1}]::DOUBLE')} END AS c{i}"
+        for i in range(64)
+    ) + " FROM vectors",
     "norm_stats": with_(VECTORS, METHODS) + f"""SELECT method, count(*) AS sample_size,
       {r6('avg(n)')} AS avg_norm, {r6('stddev_pop(n)')} AS std_norm
       FROM (SELECT method, {norm('embedding')} AS n FROM methods) GROUP BY method""",
@@ -601,3 +620,4 @@ ORACLES: dict[str, str] = {
     "stream_label_counts": with_(f"posts AS ({DOCUMENT_POSTS})")
     + f"SELECT {sql_gender('raw_text')} AS gender, count(*) AS n FROM posts GROUP BY ALL",
 }
+ORACLES["report_round_trip"] = ORACLES["label_counts"]

@@ -48,12 +48,21 @@ def test_methods_come_from_one_pass(texts):
 
 
 def test_wrong_strategy_column_or_dimension(texts):
-    with pytest.raises(ValueError, match="cls"):
+    with pytest.raises(ValueError, match="'max'"):
         embed.embed_table(texts("a"), "raw_text", "max")
     with pytest.raises(ValueError, match="nowhere"):
         embed.embed_table(texts("a"), "nowhere")
     with pytest.raises(ValueError):
-        embed.embed_table(texts("a"), "raw_text", dim=17)
+        embed.embed_table(texts("a"), "raw_text", dim=0)
+
+
+@pytest.mark.parametrize("strategy", ["cls", "mean"])
+def test_more_components_than_one_digest_holds(texts, strategy):
+    df = texts("one two", "", "one")
+    short = column(embed.embed_table(df, "raw_text", strategy), "embedding")
+    long = column(embed.embed_table(df, "raw_text", strategy, dim=100), "embedding")
+    assert [v[:16] for v in long] == short and all(len(v) == 100 for v in long)
+    assert len(set(long[0])) > 50 and set(long[1]) == {0.0}
 
 
 # Backends defined here travel to the Python workers with their code.
@@ -76,10 +85,21 @@ def test_external_encoder(texts, tmp_path):
     np.testing.assert_allclose(got[0], want[0], atol=1e-6)
     np.testing.assert_allclose(got[3], want[1], atol=1e-6)
     assert got[0] == got[2] == got[4] and got[1] == [0.0] * 8
+    assert [e is None for e in column(df, "embed_error")] == [True, False, True, True, True]
     again = embed.embed_external(texts(*values, "new"), DigestEncoder, 8, "ext", text="raw_text",
                                  store=f"{tmp_path}/vectors")
     assert column(again, "embedding")[1] == [0.0] * 8  # kept, not encoded again
-    assert len(column(again, "embedding")) == 6
+    assert len(column(again, "embedding")) == 6 and column(again, "embed_error")[1]
+    mended = embed.embed_external(texts(*values), DigestEncoder, 8, "ext", text="raw_text",
+                                  store=f"{tmp_path}/vectors", retry_errors=True)
+    np.testing.assert_allclose(column(mended, "embedding")[1], DigestEncoder().embed_batch(["bad"])[0], atol=1e-6)
+    assert column(mended, "embed_error") == [None] * 5
+
+
+def test_learned_vocabulary_is_bounded(texts):
+    df = texts(*["often often often often some some once"] * 8)
+    model = embed.fit_learned(df, "raw_text", dim=4, min_count=1, most_words=2)
+    assert {r.word for r in model.getVectors().collect()} == {"often", "some"}
 
 
 def test_learned_vectors(texts):

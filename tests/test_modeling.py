@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.ml import Estimator
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from cuespark.functions.vectors import MAX_DOUBLE, fill_gaps
 from cuespark.operators import evaluate, models, prepare, sampling
@@ -148,7 +149,7 @@ def test_tuning(spark):
     assert list(found["models"]) == ["Lasso Logistic_tuned"]
     assert len(models.param_grid(models.FOREST, estimators[models.FOREST])) == 36
     assert models.tune(data, models.MLP, estimators) == {}
-    with pytest.raises(ValueError, match="not available"):
+    with pytest.raises(ValueError, match="Logistic Regression"):
         models.tune(data, "Logistic Regression", estimators)
 
 
@@ -169,6 +170,28 @@ def test_saved_models_predict_the_same(spark, tmp_path):
         models.load_models(spark, f"{tmp_path}/nothing")
 
 
+def test_errors_are_saved_and_loaded(spark, tmp_path):
+    data = prepare.prepare(blobs(spark, 90))
+    chosen = {models.LASSO: small(data.dim, 2)[models.LASSO], "broken": object()}
+    fitted, trained = models.train_models(data, chosen, cv_folds=None)
+    assert "fit" in trained["broken"]["error"]
+    models.save_models(spark, f"{tmp_path}/m", fitted, data.preprocessing, trained)
+    loaded, _, results = models.load_models(spark, f"{tmp_path}/m")
+    assert set(loaded) == {models.LASSO} and results["broken"]["error"] == trained["broken"]["error"]
+    assert "error" in models.tune(data, "broken", chosen, grid=[{}], cv_folds=2)
+
+
+def test_a_comparison_saves_the_models_of_every_method(spark, tmp_path):
+    both = blobs(spark, 60).withColumn("method", F.lit("a")).unionByName(
+        blobs(spark, 60).withColumn("method", F.lit("b")))
+    make = lambda d, k: {models.LASSO: small(d, k)[models.LASSO], "broken": object()}
+    results = models.compare_methods(both, make, cv_folds=None, save_to=str(tmp_path))
+    assert {r.method: r.error for r in models.comparison(results).collect()} == {"a": None, "b": None}
+    for method in "ab":
+        loaded, _, kept = models.load_models(spark, f"{tmp_path}/{method}")
+        assert set(loaded) == {models.LASSO} and kept["broken"]["error"]
+
+
 def test_defaults_follow_the_study():
     made = models.registry(768, 2)
     lasso, forest = made[models.LASSO], made[models.FOREST]

@@ -19,10 +19,8 @@ def rank_rows(request, monkeypatch):
     monkeypatch.setattr(sampling, "_RANK_ROWS", request.param)
 
 
-@pytest.mark.parametrize("top", [10_000, 3])
 @pytest.mark.parametrize("n", [1, 7, 500, 1999, 2000, 9999])
-def test_sample_is_the_smallest_hashes(spark, monkeypatch, rank_rows, n, top):
-    monkeypatch.setattr(sampling, "_TOP_ROWS", top)
+def test_sample_is_the_smallest_hashes(spark, rank_rows, n):
     df = spark.range(2000).withColumnRenamed("id", "post_id")
     got = {r.post_id for r in sampling.sample_rows(df, n).collect()}
     assert got == set(sorted(range(2000), key=lambda i: digest(42, i))[:n])
@@ -33,6 +31,16 @@ def test_sample_of_copies_of_one_key_terminates(spark, rank_rows):
     assert sampling.sample_rows(df, 10).count() == 10
 
 
+@pytest.mark.parametrize("n", [1, 5, 9_999, 10_000, 10_001])
+def test_repeated_keys_give_the_size_asked_for(spark, n):
+    df = spark.range(14_000).select((F.col("id") % 7).alias("post_id"), F.col("id").alias("row"))
+    rows = sampling.sample_rows(df, n).collect()
+    assert len(rows) == n
+    first = sorted(range(7), key=lambda k: digest(42, k))[: -(-n // 2000)]
+    assert {r.post_id for r in rows} == set(first)
+    assert set(rows) == set(sampling.sample_rows(df.repartition(5), n).collect())
+
+
 def test_fraction_is_stable_under_partitioning(spark):
     df = spark.range(5000).withColumnRenamed("id", "post_id")
     one = {r.post_id for r in sampling.sample_fraction(df, 0.1).collect()}
@@ -105,7 +113,7 @@ def test_hot_key_join_equals_plain_join(spark, how):
     keys = [1] * 400 + [rng.randint(2, 60) for _ in range(600)] + [None] * 5
     many = spark.createDataFrame(list(enumerate(keys)), "post_id bigint, k bigint")
     one = spark.createDataFrame([(k, f"v{k}") for k in range(50)], "k bigint, v string")
-    hot = joins.hot_keys(many, "k", "post_id", rows_per_split=50, max_hot=20)
+    hot = joins.hot_keys(many, "k", rows_per_split=50, max_hot=20)
     assert dict(hot)[1] == math.ceil(400 / 50) and len(hot) <= 20
     joined = joins.join_many_to_one(many, one, "k", "post_id", how, rows_per_split=50, max_hot=20)
     plain = many.join(one, "k", how)
@@ -113,11 +121,15 @@ def test_hot_key_join_equals_plain_join(spark, how):
     assert rows(joined) == rows(plain)
 
 
-def test_hot_keys_of_a_large_table_come_from_a_part_of_it(spark):
-    many = spark.range(60000).select(
-        F.col("id").alias("post_id"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
-    hot = joins.hot_keys(many, "k", "post_id", rows_per_split=5000, max_hot=20, large=10000)
-    assert [k for k, _ in hot] == [-1] and 2 <= hot[0][1] <= 6
+def test_rows_without_a_key_pass_the_join_by(spark):
+    many = spark.range(3000).select(
+        F.col("id").alias("post_id"), F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"))
+    one = many.filter("k IS NOT NULL").select("k", F.lit("v").alias("v"))
+    assert joins.hot_keys(many, "k", rows_per_split=50, max_hot=20) == []
+    joined = joins.join_many_to_one(many, one, "k", "post_id")
+    assert joined.count() == 3000 and joined.filter("v IS NOT NULL").count() == 300
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
 
 
 def test_hot_key_is_spread_over_tasks(spark):

@@ -87,10 +87,22 @@ def test_work_folder_and_stored_tables(spark):
     assert df.count() == 5 and "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_spread_leaves_well_split_tables_alone(spark):
-    wide = spark.range(100, numPartitions=16)
-    assert tables.spread(wide, "id") is wide
-    assert tables.spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() == 8
+def test_a_report_keeps_the_tasks_of_what_makes_it(spark, tmp_path):
+    slow = spark.range(64, numPartitions=8).select((F.col("id") * 2).alias("x"))
+    tables.write_report(slow, f"{tmp_path}/report.json")
+    assert tables.read_report(spark, f"{tmp_path}/report.json").count() == 64
+    with open(tables.__file__) as source:
+        assert "coalesce(1)" not in source.read()
+
+
+def test_bad_cells_and_files_of_wide_vectors(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("vec_id,a_embed_0,a_embed_1\n1,0.5,oops\n2,1.5,2\n")
+    (tmp_path / "bad.csv").write_text("vec_id,b_embed_0\n1,none\n")
+    (tmp_path / "other.csv").write_text("vec_id,x\n1,2\n")
+    found, skipped = tables.import_wide_embeddings(spark, str(tmp_path))
+    rows = {r.vec_id: r.embedding for r in found.collect()}
+    assert rows == {"1": [0.5, None], "2": [1.5, 2.0]} and set(skipped) == {"bad", "other"}
+    assert [tuple(r) for r in tables.lost_cells(found).collect()] == [("good", 1)]
 
 
 def test_stream_equals_batch_and_adds_nothing_twice(spark, tmp_path):
@@ -99,7 +111,7 @@ def test_stream_equals_batch_and_adds_nothing_twice(spark, tmp_path):
 
     def run():
         stream = incremental.label_and_scrub(
-            incremental.post_stream(spark, arriving, posts.schema), tasks=2)
+            incremental.post_stream(spark, arriving, posts.schema))
         incremental.run_to_parquet(stream, sink, checkpoint).awaitTermination()
         return spark.read.parquet(sink)
 
@@ -130,8 +142,9 @@ def test_running_counts(spark, tmp_path):
     posts = corpus.posts(spark, SF_DIR).select("post_id", "raw_text")
     posts.write.parquet(f"{tmp_path}/in")
     stream = incremental.label_and_scrub(incremental.post_stream(spark, f"{tmp_path}/in", posts.schema))
-    incremental.run_label_counts(stream, "running", f"{tmp_path}/check").awaitTermination()
-    got = {r.gender: r["count"] for r in spark.table("running").collect()}
+    sink = f"{tmp_path}/counts"
+    incremental.run_label_counts(stream, sink, f"{tmp_path}/check").awaitTermination()
+    got = {r.gender: r["count"] for r in incremental.latest_counts(spark, sink).collect()}
     want = label_posts(posts.filter("raw_text rlike '[a-z]'")).groupBy("gender").count().collect()
     assert got == {r.gender: r["count"] for r in want}
 
