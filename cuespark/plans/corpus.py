@@ -87,7 +87,7 @@ def with_label_answers(df: DataFrame) -> DataFrame:
         F.concat(F.lit("  \n"), answer('"female"'), F.lit(" \n")),
         answer('"UNKNOWN"'),
         F.concat(F.lit('{"reasoning": "'), why, F.lit('"}')),
-        F.concat(F.lit("Not valid JSON, "), why),
+        F.concat(F.lit("No object here, "), why),
         F.lit('{"reasoning": "", "answer": "NEUTRAL"}'),
         answer("null"),
         F.lit("[1]"),
@@ -113,7 +113,7 @@ def with_scrub_answers(df: DataFrame) -> DataFrame:
         F.lit('{"scrubbed_text": ""}'),
         F.lit('{"note": "kept short"}'),
         F.concat(good, F.lit(" extra")),
-        F.lit("Invalid JSON"),
+        F.lit("no braces at all"),
         F.lit("[2]"),
         F.lit(None).cast("string"),
     ]

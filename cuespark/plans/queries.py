@@ -666,73 +666,122 @@ def method_ranking(spark, sf_dir):
     return _rounded(ranked, "best_accuracy").select("method", "best_model", "best_accuracy")
 
 
-# Training.  Small settings; `registry` has the study's values as defaults.
+# Training.  Fitted numbers have no SQL; what must hold for any fit has: the test rows with
+# their labels, the sizes, and `sound`, which says that the fitted results agree with each other.
 
 
-def _small(dim: int, n_classes: int):
+def _settings(dim: int, n_classes: int):
+    """The study's settings, but for `ROUNDS` of boosting: each is one pass after another."""
+    return models.registry(dim, n_classes, rounds=ROUNDS)
+
+
+def _light(dim: int, n_classes: int):
+    """Settings for queries that fit every model many times."""
     return models.registry(
-        dim, n_classes, trees=10, depth=5, rounds=3, max_iter=50, mlp_layers=(16,), mlp_iter=20
+        dim, n_classes, trees=20, depth=8, rounds=3, max_iter=200, mlp_layers=(32,), mlp_iter=30
     )
 
 
+ROUNDS = 20
+
+
 def _binary_vectors(spark, sf_dir) -> DataFrame:
     return filters.binary_only(corpus.vectors(spark, sf_dir))
 
 
-def _train_one(spark, sf_dir, name: str) -> DataFrame:
+def _sound(predicted: DataFrame) -> DataFrame:
+    """Predictions are classes, and the most probable ones where there are probabilities."""
+    p = F.col("probability")
+    chosen = p[F.col("prediction").cast("int")]
+    fits = (F.abs(F.aggregate(p, F.lit(0.0), lambda s, x: s + x) - 1) < 1e-6) & (
+        chosen >= F.array_max(p) - 1e-9
+    )
+    sound = F.col("prediction").isin(0.0, 1.0) & F.coalesce(fits, F.lit(True))
+    return predicted.select("vec_id", "label", "model", sound.alias("sound"))
+
+
+def _train(spark, sf_dir, *names: str, settings=_settings) -> DataFrame:
     data = prep.prepare(_binary_vectors(spark, sf_dir))
-    estimator = _small(data.dim, len(data.classes))[name]
-    fitted, _ = models.train_models(data, {name: estimator}, cv_folds=None)
-    return models.predict(fitted, data.test)
+    made = settings(data.dim, len(data.classes))
+    fitted, results = models.train_models(data, {n: made[n] for n in names or made}, cv_folds=None)
+    failed = {n: r["error"] for n, r in results.items() if "error" in r}
+    if failed:
+        raise RuntimeError(f"models failed: {failed}")
+    predicted = stored(_sound(models.predict(fitted, data.test)), "predictions")
+    data.unpersist()
+    return predicted
 
 
 @query
 def train_lasso(spark, sf_dir):
-    return _train_one(spark, sf_dir, models.LASSO)
+    return _train(spark, sf_dir, models.LASSO)
 
 
 @query
 def train_forest(spark, sf_dir):
-    return _train_one(spark, sf_dir, models.FOREST)
+    return _train(spark, sf_dir, models.FOREST)
 
 
 @query
 def train_mlp(spark, sf_dir):
-    return _train_one(spark, sf_dir, models.MLP)
+    return _train(spark, sf_dir, models.MLP)
 
 
 @query
 def train_boosted(spark, sf_dir):
-    return _train_one(spark, sf_dir, models.BOOSTED_DEEP)
+    return _train(spark, sf_dir, models.BOOSTED_DEEP)
 
 
 @query
-def train_cross_validated(spark, sf_dir):
-    rows, _, _ = models.run_method(
-        _binary_vectors(spark, sf_dir), "full64",
-        lambda d, k: {n: e for n, e in _small(d, k).items() if n in (models.LASSO, models.FOREST)},
-        cv_folds=3,
+def train_boosted_slow(spark, sf_dir):
+    return _train(spark, sf_dir, models.BOOSTED_SLOW)
+
+
+@query
+def train_all(spark, sf_dir):
+    return _train(spark, sf_dir, settings=_light)
+
+
+def _results(rows: DataFrame) -> DataFrame:
+    """Result rows with their sizes; sound if every score that is there is a share."""
+
+    def share(c: str):
+        return F.coalesce(F.col(c).between(0.0, 1.0), F.lit(True))
+
+    validated = F.col("cv_accuracy_mean").isNotNull()
+    return rows.select(
+        "method", "model", "training_samples", "test_samples", "dimension",
+        validated.alias("validated"),
+        (share("accuracy") & share("cv_accuracy_mean") & F.col("error").isNull()).alias("sound"),
     )
-    return spark.createDataFrame(rows, models.RESULTS)
+
+
+@query
+def train_cross_validated(spark, sf_dir):
+    rows, _, _ = models.run_method(_binary_vectors(spark, sf_dir), "full64", _light, cv_folds=5)
+    return _results(spark.createDataFrame(rows, models.RESULTS))
 
 
 @query
 def compare_embeddings(spark, sf_dir):
-    results = models.compare_methods(
-        corpus.methods(corpus.vectors(spark, sf_dir)),
-        lambda d, k: {n: e for n, e in _small(d, k).items() if n in (models.LASSO, models.FOREST)},
-        cv_folds=None,
+    shown = filters.binary_only(corpus.vectors(spark, sf_dir))
+    results = models.compare_methods(corpus.methods(shown), _light, cv_folds=None)
+    best = models.comparison(results)
+    top = F.array_max(F.transform("model_results", lambda r: r["accuracy"]))
+    return best.select(
+        "method", F.col("embedding_dimension").cast("bigint").alias("dimension"),
+        F.size("model_results").cast("bigint").alias("n_models"),
+        (F.col("error").isNull() & (F.col("best_accuracy") == top)).alias("sound"),
     )
-    return models.comparison(results).drop("model_results")
 
 
 @query
 def grid_search(spark, sf_dir):
     data = prep.prepare(_binary_vectors(spark, sf_dir))
-    found = models.tune(data, models.LASSO, _small(data.dim, len(data.classes)), cv_folds=3)
+    found = models.tune(data, models.LASSO, _settings(data.dim, len(data.classes)), cv_folds=3)
     data.unpersist()
-    rows = [(r["params"]["C"], r["mean"], r["std"]) for r in found["cv_results"]]
-    return spark.createDataFrame(rows, "c double, mean double, std double")
+    rows = [(r["params"]["C"], 0 <= r["mean"] <= found["best_score"]) for r in found["cv_results"]]
+    return spark.createDataFrame(rows, "c double, sound boolean")
 
 
 # Streams.

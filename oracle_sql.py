@@ -207,7 +207,7 @@ _LABEL_SHAPES = """CASE post_id % 13 + CASE WHEN post_id % 13 < 0 THEN 13 ELSE 0
     WHEN 3 THEN '  ' || chr(10) || '{"reasoning": "post ' || post_id || '", "answer": "female"} ' || chr(10)
     WHEN 4 THEN '{"reasoning": "post ' || post_id || '", "answer": "UNKNOWN"}'
     WHEN 5 THEN '{"reasoning": "post ' || post_id || '"}'
-    WHEN 6 THEN 'Not valid JSON, post ' || post_id
+    WHEN 6 THEN 'No object here, post ' || post_id
     WHEN 7 THEN '{"reasoning": "", "answer": "NEUTRAL"}'
     WHEN 8 THEN '{"reasoning": "post ' || post_id || '", "answer": null}'
     WHEN 9 THEN '[1]'
@@ -236,7 +236,7 @@ _SCRUB_SHAPES = """CASE post_id % 11 + CASE WHEN post_id % 11 < 0 THEN 11 ELSE 0
     WHEN 2 THEN '```' || chr(10) || good || '```' WHEN 3 THEN '  ' || good || chr(10)
     WHEN 4 THEN '{"scrubbed_text": 123}' WHEN 5 THEN '{"scrubbed_text": ""}'
     WHEN 6 THEN '{"other_field": "some value"}' WHEN 7 THEN good || ' extra'
-    WHEN 8 THEN 'Invalid JSON' WHEN 9 THEN '[2]' END"""
+    WHEN 8 THEN 'no braces at all' WHEN 9 THEN '[2]' END"""
 SCRUB_ANSWERS = f"""good AS (
   SELECT post_id, raw_text, CAST(CASE WHEN raw_text IS NULL THEN '{{}}' ELSE
       json_object('scrubbed_text', {sql_scrub('raw_text')}) END AS VARCHAR) AS good FROM posts),
@@ -621,3 +621,35 @@ ORACLES: dict[str, str] = {
     + f"SELECT {sql_gender('raw_text')} AS gender, count(*) AS n FROM posts GROUP BY ALL",
 }
 ORACLES["report_round_trip"] = ORACLES["label_counts"]
+
+BINARY = "binary AS (SELECT * FROM vectors WHERE gender <> 'NEUTRAL')"
+
+
+def trained(*models: str) -> str:
+    return with_(VECTORS, BINARY, split_ctes("binary", "vec_id", 42)) + f"""
+      SELECT vec_id, CASE gender WHEN 'FEMALE' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS label, model,
+        true AS sound
+      FROM parts, (SELECT unnest([{listed(models)}]) AS model) WHERE split = 'test'"""
+
+
+# The models in training order.
+MODELS = ("Lasso Logistic", "Random Forest", "MLP", "Boosted Trees 0.05", "Boosted Trees 0.1")
+
+ORACLES["train_lasso"] = trained(MODELS[0])
+ORACLES["train_forest"] = trained(MODELS[1])
+ORACLES["train_mlp"] = trained(MODELS[2])
+ORACLES["train_boosted_slow"] = trained(MODELS[3])
+ORACLES["train_boosted"] = trained(MODELS[4])
+ORACLES["train_all"] = trained(*MODELS)
+ORACLES["train_cross_validated"] = with_(VECTORS, BINARY, split_ctes("binary", "vec_id", 42)) + f"""
+  SELECT 'full64' AS method, model, count(*) FILTER (split = 'train') AS training_samples,
+    count(*) FILTER (split = 'test') AS test_samples, 64::BIGINT AS dimension,
+    model <> 'MLP' AS validated, true AS sound
+  FROM parts, (SELECT unnest([{listed(MODELS)}]) AS model) GROUP BY model"""
+ORACLES["compare_embeddings"] = (
+    "SELECT * FROM (VALUES ('full64', 64::BIGINT, 5::BIGINT, true), ('half32', 32, 5, true)) "
+    "AS t(method, dimension, n_models, sound)"
+)
+ORACLES["grid_search"] = (
+    "SELECT c::DOUBLE AS c, true AS sound FROM (VALUES (0.01), (0.1), (1), (10), (100)) AS t(c)"
+)
