@@ -22,34 +22,33 @@ def statistics(text: Column) -> dict[str, Column]:
     """Named statistics of a text; NULL counts as the empty text."""
     t = F.coalesce(text, F.lit(""))
     chars = F.greatest(F.length(t), F.lit(1))
-    words = F.split(F.trim(t), r"\s+")
+    words = F.split(t, " ")
     n_words = F.size(words)
+    distinct = F.size(F.array_distinct(words))
     lines = F.split(t, "\n")
+    # a text without its small letters and white space is short: what follows searches that
+    rest = F.regexp_replace(t, r"[\p{Ll}\s]+", "")
 
-    def share(pattern: str) -> Column:
-        return 1 - F.length(F.regexp_replace(t, pattern, "")) / chars
-
-    def per_word(pattern: str) -> Column:
-        return F.regexp_count(t, F.lit(pattern)) / n_words
+    def count(pattern: str) -> Column:
+        return F.regexp_count(rest, F.lit(pattern))
 
     return {
         "chars": F.log1p(F.length(t)),
         "word_length": chars / n_words,
-        "capitals": share(r"\p{Lu}+"),
-        "symbols": share(r"[^\p{L}\p{N}\s]+"),
-        "digits": share(r"\p{N}+"),
-        "symbol_runs": per_word(r"[^\p{L}\p{N}\s]{2,}"),
-        "bars": per_word(r"(?<!\S)\W(?!\S)"),
-        "repeats": per_word(r"(?<!\S)(\S++)\s++(?=\1(?!\S))"),
-        "distinct_words": F.size(F.array_distinct(words)) / n_words,
+        "capitals": count(r"\p{Lu}") / chars,
+        "symbols": count(r"[^\p{L}\p{N}]") / chars,
+        "digits": count(r"\p{N}") / chars,
+        "bars": count(r"[|•·»›]") / n_words,
+        "distinct_words": distinct / n_words,
+        "variety": F.log1p(distinct) / F.log1p(n_words),
         "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
         "line_words": F.log1p(n_words / F.size(lines)),
     }
 
 
 NAMES = [
-    "chars", "word_length", "capitals", "symbols", "digits", "symbol_runs", "bars", "repeats",
-    "distinct_words", "distinct_lines", "line_words",
+    "chars", "word_length", "capitals", "symbols", "digits", "bars", "distinct_words", "variety",
+    "distinct_lines", "line_words",
 ]
 
 
