@@ -172,3 +172,15 @@ def with_score(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFra
         F.struct(*(c.cast("double").alias(n) for n, c in stats.items())).alias("stats"),
     )
     return rows.select("row", model.score("stats").alias("score"))
+
+def keep_good(
+    docs: DataFrame, model: RuleModel, threshold: float = 0.3, text: str = "text"
+) -> DataFrame:
+    """The rows of docs with a score of at least `threshold`, as they are.
+
+    The rejected rows are counted as an observed metric, `quality`.  That also keeps the optimizer
+    from moving the condition below the statistics, which it would then spell out once per rule.
+    """
+    scored = with_score(docs, model, text)
+    seen = scored.observe("quality", F.count_if(F.col("score") < threshold).alias("rejected"))
+    return seen.filter(F.col("score") >= threshold).select("row.*")
