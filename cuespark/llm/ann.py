@@ -36,21 +36,15 @@ def one_bit_codes(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np
 def estimates(queries: np.ndarray, codes: np.ndarray, scalar: np.ndarray, turn: np.ndarray):
     """Estimated cosines (query, vector) from packed codes and scalars, and the standard error.
 
-    A code's product with a rotated query is a sum of table entries, one per byte of the code;
-    divided by the code's product with its own vector it estimates the cosine.
+    The product of a rotated query with a code's signs, divided by the product of the code with
+    its own vector, estimates the cosine.
     """
     dim = len(turn)
     turned = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ turn.T
-    padded = np.zeros((len(turned), codes.shape[1] * 8))
-    padded[:, :dim] = turned
-    signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1
-    total = np.zeros((len(queries), len(codes)), np.float32)
-    for i in range(codes.shape[1]):
-        lookup = (padded[:, 8 * i : 8 * i + 8] @ signs.T).astype(np.float32)
-        total += lookup[:, codes[:, i]]
-    scale = np.sqrt(dim) * scalar
+    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
+    scale = (np.sqrt(dim) * scalar).astype(np.float32)
     error = np.sqrt(np.maximum(1 - scalar**2, 0)) / scalar / np.sqrt(max(dim - 1, 1))
-    return total / scale.astype(np.float32), error
+    return turned.astype(np.float32) @ signs.T / scale, error
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,23 +61,31 @@ def search_cell(qids, queries, ids, vectors, codes, scalar, turn, k, bound):
     """The k nearest of each query among a cell's vectors: (query_id, vec_id, score) arrays.
 
     The k best estimates are scored first; every vector whose upper bound reaches the k-th of
-    these scores is scored as well.
+    these scores is scored as well.  The k best of them, and what lies within a rounding error of
+    the k-th, are scored again component by component.
     """
     out = []
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    n = min(k, len(ids))
     for s in range(0, len(qids), 128):
         own, some = queries[s : s + 128], qids[s : s + 128]
+        asked = own / np.linalg.norm(own, axis=1, keepdims=True)
         guess, error = estimates(own, codes, scalar, turn)
         guess[some[:, None] == ids[None, :]] = -np.inf
-        n = min(k, len(ids))
         first = np.argpartition(-guess, n - 1, axis=1)[:, :n]
-        rows = np.repeat(np.arange(len(own)), n)
-        seen = cosines(own[rows], vectors[first.ravel()]).reshape(-1, n)
-        seen[np.isneginf(np.take_along_axis(guess, first, 1))] = -np.inf
-        least = seen.min(axis=1) if len(ids) > k else np.full(len(own), -np.inf)
-        upper = guess + (bound * error).astype(np.float32)
-        near = (upper >= least[:, None].astype(np.float32) - np.float32(1e-5)) & (guess > -np.inf)
-        np.put_along_axis(near, first, np.take_along_axis(guess, first, 1) > -np.inf, 1)
-        q, v = np.nonzero(near)
+        width = (bound * error).astype(np.float32)
+        rows, found = [], []
+        for i, query in enumerate(asked):
+            best = first[i][guess[i, first[i]] > -np.inf]
+            least = (unit[best] @ query).min() if len(best) == k else -2.0
+            near = np.flatnonzero(guess[i] + width >= least - 1e-5)
+            near = np.union1d(near, best)
+            score = unit[near] @ query
+            if len(near) > k:
+                near = near[score >= np.partition(score, -k)[-k] - 1e-9]
+            rows.append(np.full(len(near), i))
+            found.append(near)
+        q, v = np.concatenate(rows), np.concatenate(found)
         score = cosines(own[q], vectors[v])
         order = np.lexsort((ids[v], -score, q))
         q, v, score = q[order], v[order], score[order]
