@@ -106,6 +106,8 @@ def _index(parted: DataFrame, tokens: Column, rules) -> Column:
     by_token: dict[str, list[Column]] = {}
     for host, path, verdict in rules:
         own = rule_tokens(host, path)
+        if not own:
+            raise ValueError(f"a rule needs a host label or a closed segment: {host + path!r}")
         rarest = min(own, key=lambda t: counts.get(t, 0))
         by_token.setdefault(rarest, []).append(
             F.struct(
