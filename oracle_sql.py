@@ -622,11 +622,11 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["report_round_trip"] = ORACLES["label_counts"]
 
-BINARY = "binary AS (SELECT * FROM vectors WHERE gender <> 'NEUTRAL')"
+BINARY = "two AS (SELECT * FROM vectors WHERE gender <> 'NEUTRAL')"
 
 
 def trained(*models: str) -> str:
-    return with_(VECTORS, BINARY, split_ctes("binary", "vec_id", 42)) + f"""
+    return with_(VECTORS, BINARY, split_ctes("two", "vec_id", 42)) + f"""
       SELECT vec_id, CASE gender WHEN 'FEMALE' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS label, model,
         true AS sound
       FROM parts, (SELECT unnest([{listed(models)}]) AS model) WHERE split = 'test'"""
@@ -641,7 +641,7 @@ ORACLES["train_mlp"] = trained(MODELS[2])
 ORACLES["train_boosted_slow"] = trained(MODELS[3])
 ORACLES["train_boosted"] = trained(MODELS[4])
 ORACLES["train_all"] = trained(*MODELS)
-ORACLES["train_cross_validated"] = with_(VECTORS, BINARY, split_ctes("binary", "vec_id", 42)) + f"""
+ORACLES["train_cross_validated"] = with_(VECTORS, BINARY, split_ctes("two", "vec_id", 42)) + f"""
   SELECT 'full64' AS method, model, count(*) FILTER (split = 'train') AS training_samples,
     count(*) FILTER (split = 'test') AS test_samples, 64::BIGINT AS dimension,
     model <> 'MLP' AS validated, true AS sound
