@@ -109,7 +109,7 @@ def frequent_words(words: DataFrame, most: int, longest: int = 64) -> DataFrame:
     short = words.filter(F.length("word") <= longest)
     power = F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int").alias("p")
     sizes = short.groupBy(power).count().collect()
-    total, least = 0, 63
+    total, least = 0, 62
     for p, n in sorted(((r["p"], r["count"]) for r in sizes), reverse=True):
         total += n
         if total > most:
