@@ -37,6 +37,7 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NOISY = re.compile(
     rf"[^\W\d_][{_SIGN}]+[^\W\d_]|^[0-9@$!][^\W\d_]|([^\W_])\1\1|^\w(?:[{re.escape(SEPARATORS)}]\w)+$"
 )
+_APART = re.compile(rf"[\w@$!|](?:[{re.escape(SEPARATORS)}][\w@$!|])+")
 _SPACED = re.compile(rf"(?<![\w{_SIGN}])(?:[\w@$!|][{re.escape(SEPARATORS)}]){{2,}}[\w@$!|](?![\w{_SIGN}])")
 
 
@@ -72,9 +73,11 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Per sign of a token: (letters it may stand for, log probability of the channel).
 
     A letter stands for itself, or for nothing if it repeats the sign before it; a sign of LEET
-    for its letters; a separator for nothing or a gap between words; others for nothing.
+    for its letters; a separator, between single letters if it is also in LEET, for nothing or a gap
+    between words; others for nothing.
     """
     out = []
+    apart = bool(_APART.fullmatch(token))
     for i, sign in enumerate(token):
         again = i > 0 and token[i - 1] == sign
         run = again and (i > 1 and token[i - 2] == sign or token[i + 1 : i + 2] == sign)
@@ -82,12 +85,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             arcs = [(sign, math.log(0.3 if run else 0.95 if again else 1.0))]
             if again:
                 arcs.append(("", math.log(0.7 if run else 0.05)))
+        elif sign in SEPARATORS and (apart or sign not in LEET):
+            arcs = [("", math.log(0.9)), (" ", math.log(0.1))]
         elif sign in LEET:
             arcs = [(letter, math.log(0.8 / len(LEET[sign]))) for letter in LEET[sign]]
-            gone = 0.7 if again or sign in SEPARATORS else 0.005 if i == 0 else 1e-4
-            arcs.append(("", math.log(gone)))
-        elif sign in SEPARATORS:
-            arcs = [("", math.log(0.9)), (" ", math.log(0.1))]
+            edge = i == 0 and not sign.isdigit()
+            arcs.append(("", math.log(0.7 if again else 1e-3 if edge else 1e-4)))
         else:
             arcs = [("", math.log(0.5))]
         out.append(arcs)
