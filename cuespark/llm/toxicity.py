@@ -27,18 +27,24 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b",
     "9": "g", "*": "aeiou", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
-SEPARATORS = " .-_*~"
+SEPARATORS = " .-_*~/,"
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
 
 _SIGN = "".join(map(re.escape, LEET))
+_APARTS = re.escape(SEPARATORS)
+_ONE = r"(?:[^\W_]|[@$!|])"  # no separator, so that runs of them have one reading
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-#: A token that may be disguised: a sign between or beside letters, a letter three times, or
+#: What stands around a token and for no letter.
+_OUTER = re.compile(rf"^(?:(?![{_SIGN}])[\W_])+|(?:(?![{_SIGN}])[\W_])+$")
+#: A token that is certainly disguised: a sign between or before letters, a letter three times, or
 #: separators between single letters.
 _NOISY = re.compile(
-    rf"[^\W\d_][{_SIGN}]+[^\W\d_]|^[0-9@$!][^\W\d_]|([^\W_])\1\1|^\w(?:[{re.escape(SEPARATORS)}]\w)+$"
+    rf"[^\W\d_][{_SIGN}]+[^\W\d_]|^[0-9@$!][^\W\d_]|([^\W_])\1\1|^[^\W_](?:[{_APARTS}]+[^\W_])+$"
 )
-_APART = re.compile(rf"[\w@$!|](?:[{re.escape(SEPARATORS)}][\w@$!|])+")
-_SPACED = re.compile(rf"(?<![\w{_SIGN}])(?:[\w@$!|][{re.escape(SEPARATORS)}]){{2,}}[\w@$!|](?![\w{_SIGN}])")
+#: A token that may be: a sign, a separator or a letter twice, wherever it stands.
+_MAYBE = re.compile(rf"[{_SIGN}{_APARTS}]|([^\W\d_])\1")
+_APART = re.compile(rf"{_ONE}(?:[{_APARTS}]+{_ONE})+")
+_SPACED = re.compile(rf"(?<![\w{_SIGN}])(?:{_ONE}[{_APARTS}]+){{2,}}{_ONE}(?![\w{_SIGN}])")
 
 
 class CharacterModel:
@@ -73,10 +79,13 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Per sign of a token: (letters it may stand for, log probability of the channel).
 
     A letter stands for itself, or for nothing if it repeats the sign before it; a sign of LEET
-    for its letters; a separator, between single letters if it is also in LEET, for nothing or a gap
-    between words; others for nothing.
+    for its letters, or for nothing, which is likelier at the end, where it may be punctuation; a
+    separator, between single letters if it is also in LEET (then for its letters too), for nothing or
+    a gap between words;
+    others for nothing.
     """
     out = []
+    end = len(_EDGE.sub("", "x" + token)) - 1  # signs from here on may be punctuation
     apart = bool(_APART.fullmatch(token))
     for i, sign in enumerate(token):
         again = i > 0 and token[i - 1] == sign
@@ -86,11 +95,18 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             if again:
                 arcs.append(("", math.log(0.7 if run else 0.05)))
         elif sign in SEPARATORS and (apart or sign not in LEET):
-            arcs = [("", math.log(0.9)), (" ", math.log(0.1))]
+            # a star may be a letter here as well: f**k
+            letters = LEET.get(sign, "")
+            rest = 0.5 if letters else 1.0
+            arcs = [("", math.log(0.9 * rest)), (" ", math.log(0.1 * rest))]
+            arcs += [(letter, math.log(0.5 / len(letters))) for letter in letters]
         elif sign in LEET:
             arcs = [(letter, math.log(0.8 / len(LEET[sign]))) for letter in LEET[sign]]
             edge = i == 0 and not sign.isdigit()
-            arcs.append(("", math.log(0.7 if again else 1e-3 if edge else 1e-4)))
+            none = 0.7 if again else 1e-3 if edge else 1e-4
+            if i >= end:
+                none = 0.5 if sign == "!" else 0.05
+            arcs.append(("", math.log(none)))
         else:
             arcs = [("", math.log(0.5))]
         out.append(arcs)
@@ -129,12 +145,24 @@ def decode(token: str, model: CharacterModel, beam: int = 24) -> str:
 
 
 def restore(token: str, model: CharacterModel) -> list[str]:
-    """The words that a lower-cased token reads as: itself without its edges, or its decoding."""
+    """The words that a lower-cased token reads as: itself without its edges, its decoding, or both.
+
+    Both, if its signs may as well be punctuation, digits, or a letter that belongs there twice.
+    """
     plain = _EDGE.sub("", token)
-    shown = token[: token.find(plain) + len(plain)]  # signs before the word may be its letters
-    if not any(c in LETTERS for c in plain) or not _NOISY.search(shown):
+    shown = _OUTER.sub("", token)  # signs around the word may be its letters
+    if not any(c in LETTERS for c in plain) or not _MAYBE.search(shown):
         return [plain] if plain else []
-    return decode(shown, model).split() or [plain]
+    found = decode(shown, model).split()
+    if not found or not _NOISY.search(shown):
+        found += [plain] if plain not in found else []
+    return found
+
+
+def likely(token: str, read: list[str]) -> list[str]:
+    """What restore read, without a decoding that has the plain word beside it."""
+    plain = _EDGE.sub("", token)
+    return [plain] if plain in read and not _NOISY.search(_OUTER.sub("", token)) else read
 
 
 def tokens(text: str) -> list[str]:
@@ -170,16 +198,17 @@ class Reader:
         self.kept: dict[str, list[str]] = {}
         self.best: dict[str, float] = {}
 
-    def words(self, text: str) -> set[str]:
+    def read(self, token: str) -> list[str]:
         if len(self.kept) > KEPT:
             self.kept.clear()
-        out: set[str] = set()
-        for token in set(tokens(text)):
-            found = self.kept.get(token)
-            if found is None:
-                found = self.kept[token] = restore(token, self.letters)
-            out.update(found)
-        return out
+        found = self.kept.get(token)
+        if found is None:
+            found = self.kept[token] = restore(token, self.letters)
+        return found
+
+    def words(self, text: str) -> set[str]:
+        """The words that a training text teaches: of two readings of a token, the plain one."""
+        return {w for token in set(tokens(text)) for w in likely(token, self.read(token))}
 
     def weight(self, word: str, label: float | None) -> float:
         """Log odds of the strongest key of a word; a training text's own count is left out."""
@@ -208,7 +237,12 @@ class Reader:
                 if w:
                     weights.append(w)
         else:
-            weights = [w for x in self.words(text) if (w := self.weight(x, label))]
+            taught = self.words(text)
+            read = (self.read(token) for token in set(tokens(text)))
+            weights = [
+                w for r in read
+                if (w := max((self.weight(x, label if x in taught else None) for x in r), default=0.0))
+            ]
         return [max(weights, default=0.0), math.log1p(sum(weights)),
                 float(sum(w > 3 for w in weights))]
 

@@ -97,6 +97,31 @@ def test_decoding_equals_the_best_of_all_paths():
     assert toxicity.restore("***", model) == []
 
 
+def _model(*words):
+    grams = {}
+    for w in words:
+        line = "  " + w + " "
+        for i in range(len(line) - 2):
+            grams[line[i : i + 3]] = grams.get(line[i : i + 3], 0) + 10
+    return toxicity.CharacterModel(grams)
+
+
+def test_disguises_wherever_they_stand_are_decoded():
+    model = _model("idiot", "hate", "ass", "dumbass", "fuck", "hello", "on", "the")
+    for rude, word in [
+        ("idi07", "idiot"), ("hat3", "hate"), ("id10+", "idiot"), ("a$$", "ass"),
+        ("dumba$$", "dumbass"), ("|diot", "idiot"), ("fuuck", "fuck"), ("i  d  i  o  t", "idiot"),
+        ("i . d . i . o . t", "idiot"), ("i/d/i/o/t", "idiot"), ("i,d,i,o,t", "idiot"),
+        ("id/iot", "idiot"), ("(idi07)", "idiot"),
+    ]:
+        read = [w for t in toxicity.tokens(f"on {rude} the") for w in toxicity.restore(t, model)]
+        assert word in read, (rude, read)
+    for plain in ("hello", "hello!", "hello,", "(hello", '"hello"'):
+        assert "hello" in toxicity.restore(plain, model), plain
+    assert "covid19" in toxicity.restore("covid19", model)
+    assert toxicity.tokens("_" * 5000 + "a" + " _" * 5000)  # ends
+
+
 def _cost(path, model):
     context, total = "  ", 0.0
     for letter, channel in path:
