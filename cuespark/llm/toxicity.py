@@ -113,10 +113,11 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: CharacterModel, beam: int = 24) -> str:
+def decode(token: str, model: CharacterModel, beam: int | None = None) -> str:
     """The most probable words behind a token: Viterbi over its lattice and the letter model.
 
-    A state is the two letters before; the `beam` best states go on.
+    A state is the two letters before, so the pairs of letters bound their number.  All go on; only
+    if `beam` is given, that many of the best.
     """
     states = {"  ": (0.0, None)}
     for arcs in lattice(token):
@@ -132,8 +133,9 @@ def decode(token: str, model: CharacterModel, beam: int = 24) -> str:
                     state = "  "
                 if state not in reached or reached[state][0] < now:
                     reached[state] = (now, line)
-        best = sorted(reached.items(), key=lambda x: -x[1][0])[:beam]
-        states = dict(best)
+        states = reached
+        if beam is not None and len(reached) > beam:
+            states = dict(sorted(reached.items(), key=lambda x: -x[1][0])[:beam])
     path = max(
         states.items(), key=lambda s: s[1][0] + (0.0 if s[0] == "  " else model.log(s[0], " "))
     )[1][1]

@@ -122,6 +122,39 @@ def test_disguises_wherever_they_stand_are_decoded():
     assert toxicity.tokens("_" * 5000 + "a" + " _" * 5000)  # ends
 
 
+def test_stars_are_decoded_without_a_beam():
+    import itertools
+
+    vowels = "aeiou"
+    model = _model("fauk", "fuck", *(f"b{a}{b}h" for a in vowels for b in vowels), "booth", "beauh")
+    for token in ("f**k", "b**h", "b***h", "b****h"):
+        best = max(_cost(p, model) for p in itertools.product(*toxicity.lattice(token)))
+        read = toxicity.decode(token, model)
+        # the letters that were read have a path of the best cost
+        assert _best_cost(token, read, model) == pytest.approx(best), (token, read)
+
+
+def test_no_state_is_dropped():
+    met = set()
+
+    class Counting(toxicity.CharacterModel):
+        def log(self, context, letter):
+            if letter == "h":
+                met.add(context)
+            return super().log(context, letter)
+
+    toxicity.decode("bo**h", Counting(_model("booth").three))
+    vowels = "aeiou"
+    assert {a + b for a in vowels for b in vowels} | {"o" + a for a in vowels} | {"bo"} <= met
+
+
+def _best_cost(token, read, model):
+    import itertools
+
+    paths = itertools.product(*toxicity.lattice(token))
+    return max(_cost(p, model) for p in paths if "".join(x for x, _ in p).strip() == read)
+
+
 def _cost(path, model):
     context, total = "  ", 0.0
     for letter, channel in path:
