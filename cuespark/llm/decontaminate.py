@@ -191,7 +191,9 @@ def find_passages(
     benchmark, which is broadcast in blocks of a fixed size; nothing is shuffled.
     """
     spark = rows.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), utf8(item_text).alias("body"))
+    items = benchmark.select(
+        F.col(item_id).cast("string").alias("item_id"), utf8(item_text).alias("body")
+    ).distinct()
     blocks = (items.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // BLOCK + 1
     others = [f for f in rows.schema if f.name != "body"]
     empty = [F.lit(0).cast("long"), *(F.array().cast(f.dataType) for f in FOUND[1:])]

@@ -169,3 +169,19 @@ def test_odd_rows_and_empty_tables(spark):
     assert decontaminate.judge_documents(empty(spark), benchmark).count() == 0
     none = decontaminate.judge_documents(docs(spark), benchmark.limit(0)).collect()
     assert Counter(r["contaminated"] for r in none) == {False: len(none)}
+
+
+def test_repeated_items_do_not_fill_a_block(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", 200)
+    sizes, keep = [], decontaminate._searcher
+
+    def seen(texts, window, matches):
+        sizes.append(sum(len(body) for _, body in texts.value))
+        return keep(texts, window, matches)
+
+    monkeypatch.setattr(decontaminate, "_searcher", seen)
+    given = spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "two three")] * 100 + [(None, "four")] * 9, "item_id long, text string")
+    found = decontaminate.judge_documents(given, items, 2).first()
+    assert (found["n_hit"], found["n_items"]) == (3, 1)
+    assert sizes == [len("two three") + len("four")]
