@@ -767,7 +767,7 @@ def compare_embeddings(spark, sf_dir):
     shown = filters.binary_only(corpus.vectors(spark, sf_dir))
     results = models.compare_methods(corpus.methods(shown), _light, cv_folds=None)
     best = models.comparison(results)
-    top = F.array_max(F.transform("model_results", lambda r: r["accuracy"]))
+    top = F.array_max(F.map_values("model_results"))
     return best.select(
         "method", F.col("embedding_dimension").cast("bigint").alias("dimension"),
         F.size("model_results").cast("bigint").alias("n_models"),
