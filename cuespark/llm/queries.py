@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.llm import (
-    ann, bpe, counts, decontaminate, ppm, quality, shards, simhash, toxicity, urls,
+    ann, bpe, counts, decontaminate, lexical, ppm, quality, shards, simhash, toxicity, urls,
 )
 from cuespark.llm.common import fold, table
 from cuespark.llm.sql import ORACLES  # noqa: F401
@@ -77,10 +77,16 @@ def op10_shards(spark, sf_dir) -> DataFrame:
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical(spark, sf_dir) -> DataFrame:
+    return lexical.search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_toxicity, op3_simhash, op4_nearest, op5_bpe, op6_urls, op7_ppm,
-        op8_decontaminate, op9_token_counts, op10_shards,
+        op8_decontaminate, op9_token_counts, op10_shards, op12_lexical,
     )
 }
