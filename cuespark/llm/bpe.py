@@ -7,19 +7,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from cuespark.llm.common import batches_of, with_columns, worker_cache
+from cuespark.session import stored
 
 LEAF = 16_384  # characters of unsplit text that one call encodes
 KEPT = 300_000  # chunks whose ids a worker keeps
+PART = 500  # texts that are cut at a time
 
 # A single space between two other characters always begins a pre-token of the byte-level
 # pattern, and nothing before it depends on what follows: texts are cut there.
 CUT = r"(?<=\S) (?=\S)"
 
+#: A space beside other white space (RE2, whose classes are ASCII), or the mark that replaces cuts.
+_BESIDE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]|\x00"
+#: Letters, then signs: one or two pre-tokens, apart from special strings and contractions.
+_WORD = re.compile(r" ([A-Za-z\u00c0-\u024f]+)[.,;:!?]*")
+
 
 class Codec:
     """A tokenizer file with its ids by chunk; made once per Python worker."""
@@ -35,8 +43,8 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
-            added = json.load(file)["added_tokens"]
-        special = {a["content"]: a["id"] for a in added}
+            settings = json.load(file)
+        special = {a["content"]: a["id"] for a in settings["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.special_ids = special
         self.cut = re.compile(CUT)
@@ -49,28 +57,83 @@ class Codec:
             self.pieces[i] = (
                 piece.encode() if piece in special else bytes(back[letter] for letter in piece)
             )
+        self.spelled = pa.array(self.pieces, pa.large_binary())
+        self.decimal = pa.array([f"{i}," for i in range(size)], pa.large_string())
+        self.opens = np.array([p[:1] == b" " for p in self.pieces])
+        self.merger = _merger(settings, back)
 
     def chunks(self, text: str) -> list[str]:
         """Pieces of a text that are encoded alone; the space before each but the first is theirs."""
         parts = self.cut.split(text)
         return [parts[0], *(" " + p for p in parts[1:])]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; every distinct chunk is encoded once."""
-        cut = [self.chunks(t) for t in texts]
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of these distinct chunks, int32; new ones are encoded and kept."""
         known = self.ids
-        for chunks in cut:
-            missing = [c for c in dict.fromkeys(chunks) if c not in known]
-            for i in range(0, len(missing), 2000):
-                part = missing[i : i + 2000]
-                for chunk, e in zip(
-                    part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                ):
-                    known[chunk] = np.array(e.ids, np.int32).tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, c)), np.int32) for c in cut]
+        words, others = [], []
+        for chunk in chunks:
+            if chunk not in known:
+                word = self.merger and _WORD.fullmatch(chunk)
+                (words if word and word[1].isalpha() else others).append(chunk)
+        if words:
+            # every word begins with the only space of its tokens
+            ids = self.merger.encode_to_numpy("".join(words)).astype(np.int32)
+            starts = np.flatnonzero(self.opens[ids]) * 4
+            spelled = ids.tobytes()
+            known.update(zip(words, map(
+                spelled.__getitem__, map(slice, starts.tolist(), [*starts[1:].tolist(), len(spelled)])
+            )))
+        for i in range(0, len(others), 2000):
+            part = others[i : i + 2000]
+            for chunk, e in zip(
+                part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            ):
+                known[chunk] = np.array(e.ids, np.int32).tobytes()
+        found = [known[c] for c in chunks]
         if len(known) > KEPT:
             known.clear()
-        return out
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; every distinct chunk is encoded once."""
+        cut = [self.chunks(t) for t in texts]
+        distinct = list(dict.fromkeys(c for chunks in cut for c in chunks))
+        ids = dict(zip(distinct, self.learn(distinct)))
+        return [np.frombuffer(b"".join(map(ids.__getitem__, c)), np.int32) for c in cut]
+
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        """The ids of each of a column's texts, as lists; no text may be NULL.
+
+        Texts whose spaces all part two other characters are cut inside Arrow, and the ids of the
+        distinct chunks are looked up there as well; other texts are cut one by one.
+        """
+        odd = pc.match_substring_regex(texts, _BESIDE)
+        if not pc.any(odd).as_py():
+            return self._encode_even(texts)
+        even = self._encode_even(texts.filter(pc.invert(odd)))
+        ids = self.encode(texts.filter(odd).to_pylist())
+        ends = np.cumsum([0, *map(len, ids)])
+        rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+        place = np.empty(len(texts), np.int64)
+        order = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+        place[order] = np.arange(len(texts))
+        return pa.concat_arrays([even, rest]).take(pa.array(place))
+
+    def _encode_even(self, texts: pa.Array) -> pa.Array:
+        parts = pc.split_pattern(pc.replace_substring(texts, " ", "\x00 "), "\x00")
+        chunks = parts.flatten().dictionary_encode()
+        found = self.learn(chunks.dictionary.to_pylist())
+        sizes = np.array([len(f) // 4 for f in found], np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        codes = chunks.indices.to_numpy()
+        table = pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32))
+        )
+        starts = np.concatenate([[0], np.cumsum(sizes[codes])])
+        per_text = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(
+            pa.array(starts[per_text], pa.int32()), table.take(chunks.indices).flatten()
+        )
 
     def decode(self, ids: np.ndarray) -> str:
         """What the ids spell, special tokens included."""
@@ -81,6 +144,30 @@ class Codec:
         return [(t.id, len(t.value)) for t in self.tokenizer.model.tokenize(unsplit)]
 
 
+def _merger(settings: dict, back: dict[str, int]):
+    """The same merges in a library that gives ids as an array, or None where they may differ.
+
+    It merges the pair of the lowest id, so ids must rise in the order of the merges.
+    """
+    import tiktoken
+
+    cutter, model = settings["pre_tokenizer"], settings["model"]
+    byte_level = cutter["type"] == "ByteLevel" and cutter["use_regex"]
+    if settings["normalizer"] or not byte_level or cutter["add_prefix_space"] or model["dropout"]:
+        return None
+    merged = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model["merges"]]
+    made = [model["vocab"][m] for m in merged]
+    if made != sorted(set(made)):
+        return None
+    ranks = {
+        bytes(back[letter] for letter in piece): i for piece, i in model["vocab"].items()
+        if all(letter in back for letter in piece)
+    }
+    return tiktoken.Encoding(
+        "merges", pat_str=r" ?\p{L}+|[^\s\p{L}]+", mergeable_ranks=ranks, special_tokens={}
+    )
+
+
 def byte_letters() -> list[str]:
     """The letter by which byte-level vocabularies write each byte.
 
@@ -91,6 +178,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def joined(pieces: pa.Array, ids: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The pieces of ids in a row, and where each begins; the last end is there too."""
+    found = pieces.take(ids)
+    _, ends, values = found.buffers()
+    ends = np.frombuffer(ends, np.int64)[: len(found) + 1]
+    return memoryview(values or b""), ends
+
+
 def codec(path: str) -> Codec:
     return worker_cache(("codec", path), lambda: Codec(path))
 
@@ -239,29 +334,49 @@ def encode_long(texts: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     return dealt.groupBy("key").applyInArrow(rejoin, "key binary, ids array<int>")
 
 
+def routed(rows: DataFrame, path: str, leaf: int) -> DataFrame:
+    """rows (others, text string not NULL) with `ids`: those of long unsplit texts, whose text is then
+    NULL; others have their text and no ids yet.
+    """
+    long = _long(F.col("text"), leaf)
+    unknown = F.lit(None).cast("array<int>").alias("ids")
+    keyed = stored(rows.filter(long).withColumn("key", F.unhex(F.sha2("text", 256))), "bpe-long")
+    if keyed.isEmpty():
+        return rows.select("*", unknown)
+    # copies of a long text are encoded once
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    far = keyed.drop("text").join(encode_long(texts, path, leaf), "key").drop("key")
+    return rows.filter(~long).select("*", unknown).unionByName(
+        far.withColumn("text", F.lit(None).cast("string"))
+    )
+
+
+def encode_routed(batch: pa.RecordBatch, codec: Codec) -> pa.Array:
+    """The ids of every row of a batch with `text` and `ids`, one of them NULL."""
+    texts, ids = batch.column("text"), batch.column("ids")
+    if not texts.null_count:
+        return codec.encode_column(texts)
+    given = texts.is_null()
+    both = pa.concat_arrays([codec.encode_column(texts.drop_null()), ids.filter(given)])
+    order = np.argsort(given.to_numpy(zero_copy_only=False), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return both.take(pa.array(place))
+
+
 def _encoded(rows: DataFrame, path: str, leaf: int) -> DataFrame:
-    """The other columns of rows (other, text string not NULL), with `ids`."""
+    """The other columns of rows (others, text string not NULL), with `ids`."""
 
     def encode(batches):
         own = codec(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = []
-            for i in range(0, len(texts), 256):
-                found += own.encode(texts[i : i + 256])
-            ends = np.cumsum([0, *map(len, found)])
-            values = np.concatenate([np.empty(0, np.int32), *found])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-            yield with_columns(batch.drop_columns(["text"]), ids=ids)
+            for part in (batch.slice(i, PART) for i in range(0, batch.num_rows, PART)):
+                yield with_columns(
+                    part.drop_columns(["text", "ids"]), ids=encode_routed(part, own)
+                )
 
     schema = StructType([*rows.drop("text").schema, StructField("ids", ArrayType(IntegerType()))])
-    long = _long(F.col("text"), leaf)
-    short = rows.filter(~long).mapInArrow(encode, schema)
-    keyed = rows.filter(long).withColumn("key", F.unhex(F.sha2("text", 256)))
-    # copies of a long text are encoded once
-    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
-    far = keyed.join(encode_long(texts, path, leaf), "key").drop("key", "text")
-    return short.unionByName(far)
+    return routed(rows, path, leaf).mapInArrow(encode, schema)
 
 
 def encode(
@@ -313,15 +428,17 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
 
         own = codec(path)
         for batch in batches:
-            made: list[list] = [[], [], []]
-            column = batch.column(1)
-            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            ids = batch.column(1)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy())])
+            decimal, signs = joined(own.decimal, ids.flatten())
+            spelled, letters = joined(own.spelled, ids.flatten())
+            made: list[list] = [np.diff(ends).tolist(), [], []]
             for a, b in zip(ends[:-1], ends[1:]):
-                ids = values[a:b]
-                made[0].append(len(ids))
-                spelled = ",".join(map(str, ids.tolist()))
-                made[1].append(sha256(spelled.encode()).hexdigest())
-                made[2].append(sha256(own.decode(ids).encode()).hexdigest())
+                text = decimal[signs[a] : max(signs[a], signs[b] - 1)]
+                made[1].append(sha256(text).hexdigest())
+                # bytes that are not UTF-8 become U+FFFD
+                body = str(spelled[letters[a] : letters[b]], "utf-8", "replace")
+                made[2].append(sha256(body.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, made)], names=names)
 
     encoded = _encoded(rows, path, leaf).select("doc_id", "ids")
