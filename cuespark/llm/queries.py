@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.llm import (
-    ann, bpe, counts, decontaminate, lexical, ppm, quality, shards, simhash, toxicity, urls,
+    ann, bpe, counts, decontaminate, lexical, ppm, quality, shards, simhash, tokenfiles,
+    toxicity, urls,
 )
 from cuespark.llm.common import fold, table
 from cuespark.llm.sql import ORACLES  # noqa: F401
@@ -83,10 +84,16 @@ def op12_lexical(spark, sf_dir) -> DataFrame:
     )
 
 
+def op13_token_files(spark, sf_dir) -> DataFrame:
+    return tokenfiles.round_trip(
+        table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_toxicity, op3_simhash, op4_nearest, op5_bpe, op6_urls, op7_ppm,
-        op8_decontaminate, op9_token_counts, op10_shards, op12_lexical,
+        op8_decontaminate, op9_token_counts, op10_shards, op12_lexical, op13_token_files,
     )
 }
