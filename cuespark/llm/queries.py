@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.llm import (
-    ann, bpe, counts, decontaminate, lexical, ppm, quality, shards, simhash, tokenfiles,
+    ann, bpe, conversations, counts, decontaminate, lexical, ppm, quality, shards, simhash, tokenfiles,
     toxicity, urls,
 )
 from cuespark.llm.common import fold, table
@@ -78,6 +78,10 @@ def op10_shards(spark, sf_dir) -> DataFrame:
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark, sf_dir) -> DataFrame:
+    return conversations.audit(table(spark, sf_dir, "conversations"))
+
+
 def op12_lexical(spark, sf_dir) -> DataFrame:
     return lexical.search(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10
@@ -94,6 +98,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_toxicity, op3_simhash, op4_nearest, op5_bpe, op6_urls, op7_ppm,
-        op8_decontaminate, op9_token_counts, op10_shards, op12_lexical, op13_token_files,
+        op8_decontaminate, op9_token_counts, op10_shards, op11_conversations, op12_lexical, op13_token_files,
     )
 }

@@ -104,3 +104,86 @@ WITH d AS (
 )
 SELECT item_id, k::INTEGER AS rank, doc_id, score FROM ranked WHERE k <= 10
 """
+
+
+def _edit(state: str, cost: str, letters: str, line: str = "''") -> str:
+    """SQL of a state (cost in 9 digits, edits, a sign below all letters, lines) after an edit."""
+    sign, at = "chr(1)", f"instr({state}, chr(1))"
+    body = f"{state}[{at} + 1:]"
+    joined = f"CASE WHEN {line} = '' THEN {body} WHEN {body} = '' THEN {line} ELSE {body} || chr(10) || {line} END"
+    return (
+        f"(lpad(({state}[1:9]::INT + {cost})::VARCHAR, 9, '0') || {state}[10:{at} - 1] || '{letters}' "
+        f"|| {sign} || {joined})"
+    )
+
+
+def _conversations_sql() -> str:
+    user, assistant = "('user:' || text)", "('assistant:' || text)"
+    own = "(role || ':' || text)"
+    u1 = ", ".join(["u", *(_edit(x, "3", "I", "'user:'") for x in "bsa")])
+    both = "('user:' || chr(10) || 'assistant:')"
+    a1 = ", ".join(["a", _edit("u", "3", "I", "'assistant:'"), *(_edit(x, "6", "II", both) for x in "bs")])
+    before = "least(b, s, a1)"
+
+    def kept(initial: str, edit: str) -> str:
+        return f"CASE WHEN ok AND initial = '{initial}' THEN {edit} END"
+
+    return rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), hashed AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, j: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)),
+    4294967295::BIGINT) % 20 AS d FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE d <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, role, left(text, 40), text, copy) AS i FROM damaged
+), judged AS (
+  SELECT *, left(role, 1) AS initial, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS final,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS behind
+  FROM placed
+), faulty AS (
+  SELECT *, CASE WHEN final = '' THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN final IN ('.', '!', '?') THEN '' ELSE 'truncated' END AS fault FROM judged
+), edited AS (
+  SELECT conv_id, i, initial, role, text, fault NOT IN ('blank', 'duplicate') AS ok,
+    CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS t FROM faulty
+), path AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000000' || chr(1) AS b, NULL::VARCHAR AS s, NULL::VARCHAR AS u,
+    NULL::VARCHAR AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, {_edit("b", "4", "D")} AS b,
+    least({_edit("s", "4", "D")}, {kept("s", _edit("b", "t", "K", own))}) AS s,
+    least({_edit("u1", "4", "D")}, CASE WHEN ok THEN {_edit(before, "3 + t", "R", user)} END,
+      {kept("u", _edit(before, "t", "K", own))}) AS u,
+    least({_edit("a1", "4", "D")}, CASE WHEN ok THEN {_edit("u1", "3 + t", "R", assistant)} END,
+      {kept("a", _edit("u1", "t", "K", own))}) AS a
+  FROM (SELECT e.*, b, s, least({u1}) AS u1, least({a1}) AS a1
+    FROM path p JOIN edited e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.i = p.i + 1)
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND behind || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+), best AS (
+  SELECT p.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    least(b, a, {_edit("u", "3", "I", "'assistant:'")}, {_edit("s", "6", "II", both)}) AS x
+  FROM path p LEFT JOIN counts c ON p.conv_id IS NOT DISTINCT FROM c.conv_id WHERE p.i = coalesce(c.n, 0)
+)
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, x[1:9]::BIGINT AS cost,
+  x[10:instr(x, chr(1)) - 1] AS audit, sha256(x[instr(x, chr(1)) + 1:]) AS repaired_sha256 FROM best
+"""
+
+
+ORACLES["op11_conversations"] = _conversations_sql()
