@@ -17,7 +17,7 @@ from cuespark.session import stored
 
 LEAF = 16_384  # characters of unsplit text that one call encodes
 KEPT = 300_000  # chunks whose ids a worker keeps
-PART = 500  # texts that are cut at a time
+PART = 1_000  # texts that are cut at a time
 
 # A single space between two other characters always begins a pre-token of the byte-level
 # pattern, and nothing before it depends on what follows: texts are cut there.
@@ -69,18 +69,18 @@ class Codec:
 
     def learn(self, chunks: list[str]) -> list[bytes]:
         """The ids of each of these distinct chunks, int32; new ones are encoded and kept."""
-        known = self.ids
-        words, others = [], []
+        known, words, others = self.ids, [], []
         for chunk in chunks:
             if chunk not in known:
                 word = self.merger and _WORD.fullmatch(chunk)
                 (words if word and word[1].isalpha() else others).append(chunk)
+        new: dict[str, bytes] = {}
         if words:
             # every word begins with the only space of its tokens
             ids = self.merger.encode_to_numpy("".join(words)).astype(np.int32)
             starts = np.flatnonzero(self.opens[ids]) * 4
             spelled = ids.tobytes()
-            known.update(zip(words, map(
+            new.update(zip(words, map(
                 spelled.__getitem__, map(slice, starts.tolist(), [*starts[1:].tolist(), len(spelled)])
             )))
         for i in range(0, len(others), 2000):
@@ -88,11 +88,12 @@ class Codec:
             for chunk, e in zip(
                 part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             ):
-                known[chunk] = np.array(e.ids, np.int32).tobytes()
-        found = [known[c] for c in chunks]
-        if len(known) > KEPT:
-            known.clear()
-        return found
+                new[chunk] = np.array(e.ids, np.int32).tobytes()
+        # the earlier chunks, and so the more frequent ones, stay
+        if len(known) < KEPT:
+            known.update(new)
+            return [known[c] for c in chunks]
+        return [new[c] if (ids := known.get(c)) is None else ids for c in chunks]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; every distinct chunk is encoded once."""

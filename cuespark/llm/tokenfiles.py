@@ -13,12 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.llm import bpe
-from cuespark.llm.common import with_columns
 from cuespark.session import stored, work_folder
 
 SEQUENCE = 2048  # ids of a sequence
 BATCH = 64  # sequences of a batch; all but a file's last batch have so many
-TEXTS = 16_384  # texts of a batch of the index
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
 PARTS = "part int, path string, texts long, ids long"
@@ -121,17 +119,11 @@ class TokenFile:
         return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint32), *parts])
 
 
-def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(columns, INDEX)], schema=INDEX
-    )
-
-
 def write_part(
-    texts: Iterable[tuple[int | None, np.ndarray]], folder: str, width: int, length: int, batch: int
+    texts: Iterable[tuple[list, np.ndarray, np.ndarray]], folder: str, width: int, length: int,
+    batch: int,
 ) -> tuple[str, int, int] | None:
-    """Write (doc_id, ids) in their order: (path, texts, ids), or None if there are none.
+    """Write (doc_ids, how many ids each has, ids) in order: (path, texts, ids), or None without texts.
 
     Two files share the path: `.ids.arrows` with the sequences, `.texts.arrows` with the place of
     every text.  A name is used by one attempt of a task only; what a lost attempt left behind is in no
@@ -141,9 +133,8 @@ def write_part(
     system, inner = pafs.FileSystem.from_uri(folder)
     name = f"{inner}/{path.rsplit('/', 1)[1]}"
     writer = None
-    held: list[tuple] = []
     count = first = 0
-    for doc_id, ids in texts:
+    for keys, sizes, ids in texts:
         if writer is None:
             system.create_dir(inner, recursive=True)
             sink = system.open_output_stream(f"{name}.ids.arrows")
@@ -151,16 +142,14 @@ def write_part(
             writer = Writer(sink, width, length, batch)
             index = pa.ipc.new_stream(index_sink, INDEX)
         writer.add(ids)
-        held.append((doc_id, first, len(ids)))
+        places = first + np.cumsum(sizes) - sizes
+        index.write_batch(pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), pa.array(places), pa.array(sizes)], schema=INDEX
+        ))
         first += len(ids)
-        count += 1
-        if len(held) >= TEXTS:
-            index.write_batch(_index_batch(held))
-            held = []
+        count += len(keys)
     if writer is None:
         return None
-    if held:
-        index.write_batch(_index_batch(held))
     index.close()
     writer.close()
     sink.close()
@@ -213,14 +202,15 @@ def write(
         width = 2 if max(len(codec.pieces) - 1, end) < 1 << 16 else 4
 
         def texts():
-            last = np.array([end], np.int32)
             for whole in batches:
                 for part in (whole.slice(i, bpe.PART) for i in range(0, whole.num_rows, bpe.PART)):
                     ids = bpe.encode_routed(part, codec)
-                    values = ids.flatten().to_numpy()
-                    ends = np.cumsum([0, *ids.value_lengths().to_numpy()])
-                    for key, a, b in zip(part.column("doc_id").to_pylist(), ends[:-1], ends[1:]):
-                        yield key, np.concatenate([values[a:b], last])
+                    sizes = ids.value_lengths().to_numpy().astype(np.int64) + 1
+                    line = np.full(int(sizes.sum()), end, np.int32)
+                    real = np.ones(len(line), bool)
+                    real[np.cumsum(sizes) - 1] = False
+                    line[real] = ids.flatten().to_numpy()
+                    yield part.column("doc_id").to_pylist(), sizes, line
 
         made = write_part(texts(), folder, width, length, batch)
         if made:
@@ -237,49 +227,55 @@ def write(
     )
 
 
-def texts_of(parts: DataFrame) -> DataFrame:
-    """(doc_id, start, n, ids) of every text of the parts, read from their files.
-
-    start: ids of all texts before, over all parts.
+def _read(parts: DataFrame, made, fields: str) -> DataFrame:
+    """made(doc_id, start, n, ids) of every text of the parts, read from their files by batches: columns
+    of the result.  start: ids of all texts before, over all parts; ids: those of the batch in a row.
     """
 
     def read(batches):
+        names = [f.split()[0] for f in fields.split(", ")]
         for rows in batches:
             for path, start in zip(rows.column("path").to_pylist(), rows.column("start").to_pylist()):
                 for index, tokens in read_part(path):
-                    for part in (index.slice(i, 1000) for i in range(0, index.num_rows, 1000)):
-                        n = part.column("n").to_numpy()
-                        first = part.column("first").to_numpy()
-                        ids = tokens.ids(int(first[0]), int(n.sum())).astype(np.int32)
-                        ends = pa.array(np.cumsum([0, *n]), pa.int32())
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column("doc_id"), pa.array(first + start), part.column("n"),
-                             pa.ListArray.from_arrays(ends, pa.array(ids))],
-                            names=["doc_id", "start", "n", "ids"],
-                        )
+                    n, first = index.column("n").to_numpy(), index.column("first").to_numpy()
+                    ids = tokens.ids(int(first[0]), int(n.sum()))
+                    yield pa.RecordBatch.from_arrays(
+                        made(index.column("doc_id"), first + start, n, ids), names=names
+                    )
 
-    dealt = parts.select("path", "start").repartition(F.col("start"))
-    return dealt.mapInArrow(read, "doc_id long, start long, n long, ids array<int>")
+    # a given number of partitions, so that small rows that stand for large files stay apart
+    dealt = parts.select("path", "start").repartitionByRange(max(1, parts.count()), "start")
+    return dealt.mapInArrow(read, fields)
 
 
-def digests(texts: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of texts (doc_id, start, n, ids)."""
+def texts_of(parts: DataFrame) -> DataFrame:
+    """(doc_id, start, n, ids) of every text of the parts, read from their files.
 
-    def digest(batches):
+    start: ids of all texts before, over all parts.
+    """
+
+    def made(doc_id, start, n, ids):
+        ends = pa.array(np.cumsum([0, *n]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32)))
+        return [doc_id, pa.array(start), pa.array(n), lists]
+
+    return _read(parts, made, "doc_id long, start long, n long, ids array<int>")
+
+
+def digests(parts: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every text of the parts: `texts_of` with the crc32 of a
+    text's ids as little-endian unsigned 32-bit integers.
+    """
+
+    def made(doc_id, start, n, ids):
         from zlib import crc32
 
-        for batch in batches:
-            ids = batch.column("ids")
-            line = memoryview(ids.flatten().to_numpy().astype("<u4")).cast("B")
-            ends = (np.cumsum([0, *ids.value_lengths().to_numpy()]) * 4).tolist()
-            found = [crc32(line[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield with_columns(
-                batch.select(["doc_id", "start", "n"]), ids_crc32=pa.array(found, pa.int64())
-            )
+        line = memoryview(ids.astype("<u4")).cast("B")
+        ends = (np.cumsum([0, *n]) * 4).tolist()
+        found = [crc32(line[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        return [doc_id, pa.array(start), pa.array(n), pa.array(found, pa.int64())]
 
-    return texts.mapInArrow(digest, "doc_id long, start long, n long, ids_crc32 long").select(
-        "doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32"
-    )
+    return _read(parts, made, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, **settings) -> DataFrame:
@@ -287,4 +283,4 @@ def round_trip(docs: DataFrame, tokenizer: str, **settings) -> DataFrame:
     folder = work_folder(docs.sparkSession, "token-files")
     if "://" not in folder and not folder.startswith("file:"):
         folder = f"file://{folder}"
-    return digests(texts_of(write(docs, tokenizer, folder, **settings)))
+    return digests(write(docs, tokenizer, folder, **settings))

@@ -40,8 +40,10 @@ def test_files_hold_every_text_in_order(spark, library, tmp_path, length, batch)
     texts.append((400, "q" * 700 + "<|endoftext|>" + "er" * 900))  # joined from leaves of 64
     made = docs(spark, [t for _, t in texts]).orderBy("text").repartition(4)
     parts = tokenfiles.write(made, PATH, f"file://{tmp_path}", length=length, batch=batch, leaf=64)
-    found = tokenfiles.digests(tokenfiles.texts_of(parts)).collect()
+    found = tokenfiles.digests(parts).collect()
     assert sorted(tuple(r) for r in found) == expected(library, texts)
+    read = {r["doc_id"]: r["ids"] for r in tokenfiles.texts_of(parts).collect()}
+    assert read == {key: ids_of(library, text) for key, text in texts}
 
     line = [i for _, t in texts for i in ids_of(library, t)]
     for part in parts.collect():
@@ -75,5 +77,5 @@ def test_a_group_of_equal_rows_is_cut(spark, library):
     made = spark.createDataFrame([(7, "the same text")] * 3000, "doc_id long, text string")
     folder = tokenfiles.work_folder(spark, "same")
     parts = tokenfiles.write(made, PATH, f"file://{folder}")
-    found = sorted(tuple(r) for r in tokenfiles.digests(tokenfiles.texts_of(parts)).collect())
+    found = sorted(tuple(r) for r in tokenfiles.digests(parts).collect())
     assert found == expected(library, [(7, "the same text")] * 3000)
