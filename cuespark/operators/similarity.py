@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -119,6 +121,64 @@ def mean_similarity(df: DataFrame, by: str | None = None, column: str = "embeddi
     )
 
 
+def similarity_spread(df: DataFrame, by: str, column: str = "embedding", rows: int = 64) -> DataFrame:
+    """Mean and population std of the cosine over *all* pairs, per `by` and dimension, without pairs.
+
+    With unit vectors u, the sum of cosines over ordered pairs is |sum u|^2 - n, and the sum of their
+    squares is the squared norm of the matrix of second moments, sum u u', minus n.  Each task adds up
+    its part of that matrix batch by batch and passes it on in strips of `rows` rows; strips are added
+    where they meet, so that the matrix is never in one place.  Zero vectors take no part; one vector
+    alone has no pairs, and NULL for both.
+    """
+    length = norm(F.col(column))
+    usable = df.filter(length > 0).select(
+        F.col(by).cast("string").alias("_by"),
+        F.transform(F.col(column), lambda x: x.cast("double") / length).alias("_unit"),
+    )
+    kinds = pa.schema(
+        [("_by", pa.string()), ("dimension", pa.int64()), ("_strip", pa.int64()), ("_n", pa.int64()),
+         ("_part", pa.list_(pa.float64()))]
+    )
+
+    def moments(batches):
+        sums: dict = {}
+        for batch in batches:
+            units = batch.column("_unit")
+            keys = list(zip(batch.column("_by").to_pylist(), pc.list_value_length(units).to_pylist()))
+            for key in set(keys):
+                at = [i for i, k in enumerate(keys) if k == key]
+                x = units.take(pa.array(at)).flatten().to_numpy().reshape(len(at), key[1])
+                n, total, second = sums.get(key, (0, 0.0, 0.0))
+                sums[key] = (n + len(at), total + x.sum(0), second + x.T @ x)
+        for (name, d), (n, total, second) in sums.items():
+            # strip -1 is the sum of the vectors
+            strips = [(-1, n, total)] + [(i, 0, second[i : i + rows].ravel()) for i in range(0, d, rows)]
+            for i, own, part in strips:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], f.type) for v, f in zip((name, d, i, own, part.tolist()), kinds)],
+                    schema=kinds,
+                )
+
+    parts = usable.mapInArrow(
+        moments, "_by string, dimension long, _strip long, _n long, _part array<double>"
+    )
+    strips = parts.groupBy("_by", "dimension", "_strip").agg(
+        F.sum("_n").alias("_n"), vector_to_array(Summarizer.sum(array_to_vector("_part"))).alias("_s")
+    ).withColumn("_square", dot(F.col("_s"), F.col("_s")))
+    first = F.col("_strip") < 0
+    totals = strips.groupBy("_by", "dimension").agg(
+        F.sum("_n").alias("n_vectors"), F.sum(F.when(first, F.col("_square"))).alias("_one"),
+        F.sum(F.when(~first, F.col("_square"))).alias("_two"),
+    )
+    n = F.col("n_vectors")
+    mean = F.try_divide(F.col("_one") - n, n * (n - 1))
+    square = F.try_divide(F.col("_two") - n, n * (n - 1))
+    return totals.select(
+        F.col("_by").alias(by), "dimension", "n_vectors", mean.alias("mean_similarity"),
+        F.when(n > 1, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))).alias("std_similarity"),
+    )
+
+
 def embedding_report(
     df: DataFrame,
     key: str = "vec_id",

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuespark.functions import text as tx
 from cuespark.functions.responses import parse_label, parse_scrub
 from cuespark.functions.vectors import pack, unpack
-from cuespark.operators import audit, embed, evaluate, filters, inference, joins, label, models
+from cuespark.operators import (
+    audit, boosting, embed, evaluate, filters, inference, joins, label, models,
+)
 from cuespark.operators import prepare as prep
 from cuespark.operators import sampling, scrub, similarity
 from cuespark.plans import corpus
@@ -508,6 +511,12 @@ def mean_similarity_all(spark, sf_dir):
     return _rounded(similarity.mean_similarity(shown, "method"), "mean_similarity")
 
 
+@query
+def similarity_spread(spark, sf_dir):
+    found = similarity.similarity_spread(corpus.methods(corpus.vectors(spark, sf_dir)), "method")
+    return _rounded(found, "mean_similarity", "std_similarity")
+
+
 @query
 def embedding_report(spark, sf_dir):
     return _rounded_stats(similarity.embedding_report(corpus.vectors(spark, sf_dir)))
@@ -667,11 +676,12 @@ def method_ranking(spark, sf_dir):
 
 
 # Training.  Fitted numbers have no SQL; what must hold for any fit has: the test rows with
-# their labels, the sizes, and `sound`, which says that the fitted results agree with each other.
+# their labels, the sizes, the share of the largest class, and `sound`, which says that the fitted
+# results agree with each other and that the model beats that share on the rows it has seen.
 
 
 def _settings(dim: int, n_classes: int):
-    """The study's settings, but for `ROUNDS` of boosting: each is one pass after another."""
+    """The study's settings, but for `ROUNDS` of boosting: each is several passes after another."""
     return models.registry(dim, n_classes, rounds=ROUNDS)
 
 
@@ -696,18 +706,28 @@ def _sound(predicted: DataFrame) -> DataFrame:
     fits = (F.abs(F.aggregate(p, F.lit(0.0), lambda s, x: s + x) - 1) < 1e-6) & (
         chosen >= F.array_max(p) - 1e-9
     )
-    sound = F.col("prediction").isin(0.0, 1.0) & F.coalesce(fits, F.lit(True))
+    whole = F.col("prediction") == F.floor("prediction")
+    sound = whole & (F.col("prediction") < F.size(p)) & F.coalesce(fits, F.lit(True))
     return predicted.select("vec_id", "label", "model", sound.alias("sound"))
 
 
-def _train(spark, sf_dir, *names: str, settings=_settings) -> DataFrame:
-    data = prep.prepare(_binary_vectors(spark, sf_dir))
+def _train(spark, sf_dir, *names: str, settings=_settings, rows=_binary_vectors) -> DataFrame:
+    data = prep.prepare(rows(spark, sf_dir))
     made = settings(data.dim, len(data.classes))
     fitted, results = models.train_models(data, {n: made[n] for n in names or made}, cv_folds=None)
     failed = {n: r["error"] for n, r in results.items() if "error" in r}
     if failed:
         raise RuntimeError(f"models failed: {failed}")
-    predicted = stored(_sound(models.predict(fitted, data.test)), "predictions")
+    majority = max(r["count"] for r in data.train.groupBy("label").count().collect()) / data.n_train
+    seen = evaluate.accuracy(models.predict(fitted, data.train), ["model"])
+    learned = seen.select("model", (F.col("accuracy") > majority).alias("learned"))
+    predicted = stored(
+        _sound(models.predict(fitted, data.test)).join(F.broadcast(learned), "model").select(
+            "vec_id", "label", "model", _r6(F.lit(majority)).alias("majority"),
+            (F.col("sound") & F.col("learned")).alias("sound"),
+        ),
+        "predictions",
+    )
     data.unpersist()
     return predicted
 
@@ -737,9 +757,26 @@ def train_boosted_slow(spark, sf_dir):
     return _train(spark, sf_dir, models.BOOSTED_SLOW)
 
 
+@query
+def train_boosted_three(spark, sf_dir):
+    """A softmax over all three labels, best leaf first."""
+    return _train(spark, sf_dir, models.BOOSTED_SLOW, rows=corpus.vectors)
+
+
+@query
+def boosted_first_splits(spark, sf_dir):
+    """What the first pass of boosting finds in every dimension: the best split of all rows."""
+    rows = _binary_vectors(spark, sf_dir).select(
+        array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"),
+        F.when(F.col("gender") == "MALE", 1.0).otherwise(0.0).alias("label"),
+    )
+    found = boosting.first_splits(stored(rows, "first-splits-rows"), boosting.Settings())
+    return _rounded(found, "threshold", "gain")
+
+
 @query
 def train_all(spark, sf_dir):
-    return _train(spark, sf_dir, settings=_light)
+    return _train(spark, sf_dir)
 
 
 def _results(rows: DataFrame) -> DataFrame:

@@ -546,6 +546,13 @@ ORACLES: dict[str, str] = {
       SELECT method, max(c) AS n_vectors,
         {r6('(sum(s * s) - max(c)) / (max(c) * (max(c) - 1))')} AS mean_similarity
       FROM sums GROUP BY method""",
+    "similarity_spread": with_(VECTORS, METHODS) + f""",
+      sizes AS (SELECT method, count(*) AS n, max(len(embedding)) AS d FROM methods GROUP BY method),
+      pairs AS (SELECT a.method, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+        FROM methods a JOIN methods b ON a.method = b.method AND a.vec_id < b.vec_id)
+      SELECT method, d AS dimension, n AS n_vectors, {r6('avg(s)')} AS mean_similarity,
+        {r6('stddev_pop(s)')} AS std_similarity
+      FROM pairs JOIN sizes USING (method) GROUP BY ALL""",
     "embedding_report": with_(VECTORS) + f""",
       sample AS (SELECT * FROM vectors ORDER BY {seeded('vec_id', 42)} LIMIT 50),
       first AS (SELECT * FROM sample ORDER BY vec_id LIMIT 10),
@@ -625,11 +632,13 @@ ORACLES["report_round_trip"] = ORACLES["label_counts"]
 BINARY = "two AS (SELECT * FROM vectors WHERE gender <> 'NEUTRAL')"
 
 
-def trained(*models: str) -> str:
-    return with_(VECTORS, BINARY, split_ctes("two", "vec_id", 42)) + f"""
-      SELECT vec_id, CASE gender WHEN 'FEMALE' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS label, model,
-        true AS sound
-      FROM parts, (SELECT unnest([{listed(models)}]) AS model) WHERE split = 'test'"""
+def trained(*models: str, rows: str = "two") -> str:
+    return with_(VECTORS, BINARY, split_ctes(rows, "vec_id", 42)) + f""",
+      shares AS (SELECT max(n) / sum(n) AS share
+        FROM (SELECT count(*) AS n FROM parts WHERE split = 'train' GROUP BY gender))
+      SELECT vec_id, CASE gender WHEN 'FEMALE' THEN 0 WHEN 'MALE' THEN 1 ELSE 2 END::DOUBLE AS label,
+        model, {r6('share')} AS majority, true AS sound
+      FROM parts, shares, (SELECT unnest([{listed(models)}]) AS model) WHERE split = 'test'"""
 
 
 # The models in training order.
@@ -640,6 +649,29 @@ ORACLES["train_forest"] = trained(MODELS[1])
 ORACLES["train_mlp"] = trained(MODELS[2])
 ORACLES["train_boosted_slow"] = trained(MODELS[3])
 ORACLES["train_boosted"] = trained(MODELS[4])
+ORACLES["train_boosted_three"] = trained(MODELS[3], rows="vectors")
+# Gradients of the start, in units of 2^-24, summed left of every cut; cuts are the values of the
+# ranks ceil(k n / 255).
+ORACLES["boosted_first_splits"] = with_(VECTORS, BINARY) + f""",
+  parts AS (SELECT (gender = 'MALE')::INT AS y, unnest(range(0, 64)) AS dim,
+    unnest(embedding)::DOUBLE AS x FROM two),
+  start AS (SELECT count(*) AS n, avg((gender = 'MALE')::INT) AS p FROM two),
+  units AS (SELECT n, round(p * 16777216) AS g0, round((p - 1) * 16777216) AS g1,
+    round(p * (1 - p) * 16777216) AS h FROM start),
+  points AS (SELECT dim, x, count(*) AS own, sum(y) AS ones FROM parts GROUP BY dim, x),
+  sums AS (SELECT dim, x, own, sum(own) OVER w AS n_left, sum(ones) OVER w AS ones
+    FROM points WINDOW w AS (PARTITION BY dim ORDER BY x)),
+  cuts AS (SELECT DISTINCT sums.* FROM sums, start, (SELECT unnest(range(1, 255)) AS k)
+    WHERE ceil(k * n / 255 - 1e-9) > n_left - own AND ceil(k * n / 255 - 1e-9) <= n_left),
+  scored AS (SELECT dim, x, n_left, n - n_left AS n_right,
+      ((n_left - ones) * g0 + ones * g1) / 16777216 AS gl, n_left * h / 16777216 + 1e-12 AS hl,
+      (SELECT sum(CASE y WHEN 1 THEN g1 ELSE g0 END) / 16777216 FROM parts, units WHERE dim = 0) AS g,
+      n * h / 16777216 + 1e-12 AS hh FROM cuts, units),
+  gains AS (SELECT *, gl * gl / hl + (g - gl) * (g - gl) / (hh - hl) - g * g / hh AS gain FROM scored
+    WHERE n_left >= 20 AND n_right >= 20),
+  best AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY gain DESC, x) AS r FROM gains)
+  SELECT dim::INT AS dim, {r6('x')} AS threshold, {r6('gain')} AS gain, n_left::BIGINT AS n_left,
+    n_right::BIGINT AS n_right FROM best WHERE r = 1 AND gain > 1e-9"""
 ORACLES["train_all"] = trained(*MODELS)
 ORACLES["train_cross_validated"] = with_(VECTORS, BINARY, split_ctes("two", "vec_id", 42)) + f"""
   SELECT 'full64' AS method, model, count(*) FILTER (split = 'train') AS training_samples,

@@ -185,3 +185,22 @@ def test_pack_and_unpack(spark, table):
     assert vectors.pack(many).first().embedding == list(range(12))
     with pytest.raises(ValueError, match="No embedding columns"):
         vectors.pack(spark.range(1))
+
+
+def test_spread_of_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "a", rng.normal(size=70).tolist()) for i in range(40)]
+    rows += [(100 + i, "b", (rng.normal(size=3) + 2).tolist()) for i in range(25)]
+    rows += [(200, "b", [0.0, 0.0, 0.0]), (201, "c", [1.0, 2.0]), (202, "b", None), (203, "b", [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, method string, embedding array<double>").repartition(5)
+    got = {(r.method, r.dimension): r for r in similarity.similarity_spread(df, "method", rows=16).collect()}
+    for (name, d), n in {("a", 70): 40, ("b", 3): 25}.items():
+        x = np.array([v for _, m, v in rows if m == name and v and len(v) == d and any(v)])
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        pairs = (u @ u.T)[np.triu_indices(n, 1)]
+        r = got[name, d]
+        assert r.n_vectors == n
+        assert (r.mean_similarity, r.std_similarity) == (pytest.approx(pairs.mean()), pytest.approx(pairs.std()))
+    assert got["c", 2].mean_similarity is None and got["c", 2].std_similarity is None
+    assert got["b", 2].n_vectors == 1 and len(got) == 4
+    assert similarity.similarity_spread(df.limit(0), "method").count() == 0
