@@ -2,7 +2,7 @@
 
 Settings follow the published study where Spark has them.  Deliberate differences:
 * boosted trees are those of `boosting`: histograms, by leaf or by level, a softmax for three classes;
-* the network is Spark's multilayer perceptron: sigmoid units, L-BFGS, no dropout;
+* the network is that of `network`, or Spark's multilayer perceptron (sigmoid units, L-BFGS);
 * forests bin their features and stop at depth 30, Spark's limit.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from cuespark.operators.boosting import BoostedTrees
 from cuespark.operators.evaluate import accuracy, best_model
+from cuespark.operators.network import MiniBatchNetwork
 from cuespark.operators.prepare import Prepared, prepare
 from cuespark.operators.sampling import class_counts, stratified_folds, stratified_split
 
@@ -92,10 +93,15 @@ def registry(
     max_iter: int = 2000,
     mlp_layers: tuple[int, ...] = (512, 256, 128),
     mlp_iter: int = 100,
+    mlp_batch: int | None = None,
     C: float = 1000.0,
     models: list[str] | None = None,
 ) -> dict[str, Estimator]:
-    """Name -> estimator, in training order."""
+    """Name -> estimator, in training order.
+
+    With `mlp_batch` the network is the study's, trained by mini-batches of so many rows for 20 epochs;
+    else Spark's, which takes all rows in a step.
+    """
 
     # the study's two boosters: best leaf first, and level by level with its own regularisation
     by_leaf = BoostedTrees(rounds=rounds, rate=0.05, growth="leaf", leaves=31, seed=seed)
@@ -103,15 +109,19 @@ def registry(
         rounds=rounds, rate=0.1, growth="level", depth=6, bins=256, l2=1.0, minRows=1, minHessian=1.0,
         seed=seed,
     )
+    def network(dim: int, n_classes: int) -> Estimator:
+        sizes = [dim, *mlp_layers, n_classes]
+        if mlp_batch:
+            return MiniBatchNetwork(layers=sizes, batch=mlp_batch, seed=seed)
+        return MultilayerPerceptronClassifier(layers=sizes, maxIter=mlp_iter, seed=seed)
+
     made = {
         LASSO: LassoLogistic(C=C, maxIter=max_iter),
         FOREST: RandomForestClassifier(
             numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed,
             minInstancesPerNode=1,
         ),
-        MLP: MultilayerPerceptronClassifier(
-            layers=[dim, *mlp_layers, n_classes], maxIter=mlp_iter, seed=seed
-        ),
+        MLP: network(dim, n_classes),
         BOOSTED_SLOW: by_leaf,
         BOOSTED_DEEP: by_level,
     }

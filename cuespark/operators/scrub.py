@@ -68,6 +68,92 @@ def names_of(table: DataFrame, column: str = "name", most: int = 100_000) -> lis
     return names
 
 
+def _pieces(text: Column) -> Column:
+    """Runs of word characters and what stands between them, in turn."""
+    cut = F.split(text, rf"(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD})", -1)
+    return F.filter(cut, lambda p: p != "")  # a split at the end leaves nothing behind it
+
+
+def scrub_names_by_table(
+    df: DataFrame,
+    names: DataFrame,
+    text: str = "raw_text",
+    into: str = "scrubbed_text",
+    key: str = "post_id",
+    name: str = "name",
+) -> DataFrame:
+    """`scrub_names` with the names of a table of any size; `key` must identify the rows of df.
+
+    A text is a list of pieces; each of its spans that is as long as some name, in pieces, is met with
+    the distinct spans that are names.  Spans are made distinct inside the tasks before they meet the
+    table, so that a frequent word is one row per task.  Of the spans found, the leftmost and longest
+    count, and what they cover is replaced.
+
+    Names are taken as written, without white space around; they must begin and end with a word
+    character (ValueError).  NULL and empty names are no names; a NULL text stays NULL.
+    """
+    require_columns(df, text, key)
+    require_columns(names, name)
+    listed = names.select(F.trim(F.col(name)).alias("_name")).filter("_name <> ''").distinct()
+    sized = listed.select("_name", F.size(_pieces(F.col("_name"))).alias("_size"))
+    whole = F.col("_name").rlike(rf"^{WORD}(?s:.*{WORD})?$")
+    kinds = sized.groupBy("_size").agg(F.count_if(~whole).alias("bad")).collect()  # a row per length
+    bad = sum(r["bad"] for r in kinds)
+    if bad:
+        raise ValueError(f"{bad} names do not begin and end with a word character")
+    sizes = F.array(*[F.lit(r["_size"]) for r in sorted(kinds, key=lambda r: r["_size"])])
+    if not kinds:
+        return df.withColumn(into, F.col(text))
+
+    cut = df.select(F.col(key).alias("_key"), _pieces(F.col(text)).alias("_pieces"))
+    spans = (
+        cut.select("_key", "_pieces", F.posexplode("_pieces").alias("_at", "_piece"))
+        .filter(F.col("_piece").rlike(f"^{WORD}"))
+        .select("_key", "_pieces", "_at", F.explode(sizes).alias("_size"))
+        .filter(F.col("_at") + F.col("_size") <= F.size("_pieces"))
+        .select(
+            "_key", "_at", "_size",
+            F.array_join(F.slice("_pieces", F.col("_at") + 1, F.col("_size")), "").alias("_span"),
+        )
+    )
+    found = spans.select("_span").distinct().join(
+        listed.withColumnRenamed("_name", "_span"), "_span", "left_semi"
+    )
+    hits = spans.join(found, "_span").groupBy("_key").agg(
+        F.array_sort(
+            F.collect_list(F.struct(F.col("_at").alias("at"), (-F.col("_size")).alias("size")))
+        ).alias("_hits")
+    )
+    none = F.array().cast("array<struct<at:int,size:int>>")
+    kept = F.aggregate(
+        "_hits",
+        F.struct(F.lit(0).alias("end"), none.alias("kept")),
+        lambda s, h: F.when(
+            h["at"] >= s["end"],
+            F.struct((h["at"] - h["size"]).alias("end"), F.concat(s["kept"], F.array(h)).alias("kept")),
+        ).otherwise(s),
+    )["kept"]
+    starts = F.transform("_kept", lambda h: h["at"])
+    covered = F.flatten(F.transform("_kept", lambda h: F.sequence(h["at"], h["at"] - h["size"] - 1)))
+    replaced = F.array_join(
+        F.transform(
+            "_pieces",
+            lambda p, i: F.when(F.array_contains("_starts", i), F.lit(lexicon.NAME))
+            .when(F.array_contains("_covered", i), F.lit(""))
+            .otherwise(p),
+        ),
+        "",
+    )
+    rewritten = (
+        cut.join(hits, "_key").withColumn("_kept", kept)
+        .withColumns({"_starts": starts, "_covered": covered})
+        .select("_key", replaced.alias("_new"))
+    )
+    return df.join(rewritten, F.col(key) == F.col("_key"), "left").select(
+        *df.columns, F.coalesce("_new", text).alias(into)
+    )
+
+
 def scrub_titles(text: Column) -> Column:
     """Titles, with the dot behind them if there is one."""
     ends = rf"(?!{WORD})\.?"

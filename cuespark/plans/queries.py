@@ -246,6 +246,17 @@ def scrub_names_long(spark, sf_dir):
     return _one_step(spark, sf_dir, lambda t: scrub.scrub_names(t, names))
 
 
+@query
+def scrub_names_table(spark, sf_dir):
+    """Names from a table that grows with the documents: the first word of each, if it is a capital
+    and small letters.
+    """
+    first = F.regexp_extract("text", "^[A-Z][a-z]+", 0)
+    names = corpus.table(spark, sf_dir, "documents").select(first.alias("name"))
+    shown = corpus.posts(spark, sf_dir).select("post_id", "raw_text")
+    return scrub.scrub_names_by_table(shown, names).drop("raw_text")
+
+
 @query
 def scrub_titles(spark, sf_dir):
     return _one_step(spark, sf_dir, scrub.scrub_titles)
@@ -437,14 +448,14 @@ def pool_mean(spark, sf_dir):
 @query
 def embed_table(spark, sf_dir):
     everything = corpus.posts(spark, sf_dir).select("post_id", "raw_text")
-    made = embed.embed_table(everything, "raw_text", method="raw_mean", dim=4)
-    return _components(made, 4).drop("raw_text")
+    made = embed.embed_table(everything, "raw_text", method="raw_mean", dim=20)
+    return _components(made, 20).drop("raw_text")
 
 
 @query
 def embed_methods(spark, sf_dir):
-    made = embed.embed_methods(_scrubbed(spark, sf_dir).select("post_id", "scrubbed_text"), dim=4)
-    return _components(made, 4).drop("scrubbed_text")
+    made = embed.embed_methods(_scrubbed(spark, sf_dir).select("post_id", "scrubbed_text"), dim=20)
+    return _components(made, 20).drop("scrubbed_text")
 
 
 @query
@@ -566,11 +577,11 @@ def import_wide(spark, sf_dir):
     bad = F.when(F.col("vec_id") == 3, F.lit("oops")).otherwise(
         F.col("full_embed_5").cast("string")
     )
-    cells = wide.withColumn("full_embed_5", bad).repartition(1)
-    tables.write_table(cells, f"{folder}/good.csv")
-    words = wide.select("vec_id", F.lit("none").alias("bad_embed_0")).repartition(1)
+    # a folder of many files is one method; cells hold no line feeds, so files can be cut
+    tables.write_table(wide.withColumn("full_embed_5", bad).repartition("vec_id"), f"{folder}/good.csv")
+    words = wide.select("vec_id", F.lit("none").alias("bad_embed_0"))
     tables.write_table(words, f"{folder}/bad.csv")
-    found, skipped = tables.import_wide_embeddings(spark, folder)
+    found, skipped = tables.import_wide_embeddings(spark, folder, multiline=False)
     lost = F.size(F.filter("embedding", lambda x: x.isNull())).cast("bigint")
     shown = _components(found.withColumn("lost_cells", lost), 64)
     return shown.select(
@@ -682,13 +693,13 @@ def method_ranking(spark, sf_dir):
 
 def _settings(dim: int, n_classes: int):
     """The study's settings, but for `ROUNDS` of boosting: each is several passes after another."""
-    return models.registry(dim, n_classes, rounds=ROUNDS)
+    return models.registry(dim, n_classes, rounds=ROUNDS, mlp_batch=32)
 
 
 def _light(dim: int, n_classes: int):
     """Settings for queries that fit every model many times."""
     return models.registry(
-        dim, n_classes, trees=20, depth=8, rounds=3, max_iter=200, mlp_layers=(32,), mlp_iter=30
+        dim, n_classes, trees=50, rounds=3, max_iter=500, mlp_layers=(64,), mlp_iter=50
     )
 
 
@@ -802,7 +813,7 @@ def train_cross_validated(spark, sf_dir):
 @query
 def compare_embeddings(spark, sf_dir):
     shown = filters.binary_only(corpus.vectors(spark, sf_dir))
-    results = models.compare_methods(corpus.methods(shown), _light, cv_folds=None)
+    results = models.compare_methods(corpus.methods(shown), _light, cv_folds=5)
     best = models.comparison(results)
     top = F.array_max(F.map_values("model_results"))
     return best.select(
@@ -821,6 +832,21 @@ def grid_search(spark, sf_dir):
     return spark.createDataFrame(rows, "c double, sound boolean")
 
 
+@query
+def grid_search_forest(spark, sf_dir):
+    """All 36 points of the forest's grid, three folds each."""
+    data = prep.prepare(_binary_vectors(spark, sf_dir))
+    made = {models.FOREST: models.registry(data.dim, 2)[models.FOREST]}
+    found = models.tune(data, models.FOREST, made, cv_folds=3)
+    data.unpersist()
+    rows = [
+        (r["params"]["numTrees"], r["params"]["maxDepth"], r["params"]["minInstancesPerNode"],
+         0 <= r["mean"] <= found["best_score"])
+        for r in found["cv_results"]
+    ]
+    return spark.createDataFrame(rows, "trees int, depth int, leaf_rows int, sound boolean")
+
+
 # Streams.
 
 

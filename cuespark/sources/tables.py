@@ -117,12 +117,13 @@ def read_report(
 
 
 def import_wide_embeddings(
-    spark: SparkSession, folder: str, pattern: str = "*.csv"
+    spark: SparkSession, folder: str, pattern: str = "*.csv", multiline: bool = True
 ) -> tuple[DataFrame, dict[str, str]]:
     """All wide embedding files of a folder as one table with `method` and `embedding`.
 
-    One file, or one folder that Spark has written, is one method, named by its stem.  Unusable files are skipped and returned with
-    the reason; a cell that is no number is NULL in its vector (see `lost_cells`).
+    One file, or one folder that Spark has written, is one method, named by its stem.  Unusable files
+    are skipped and returned with the reason; a cell that is no number is NULL in its vector (see
+    `lost_cells`).  Without `multiline` large files are cut into tasks (see `read_table`).
     """
     options = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
     listing = spark.read.format("binaryFile").options(**options).load(folder)
@@ -133,7 +134,7 @@ def import_wide_embeddings(
     for name in sorted(r["name"] for r in named.collect()):  # one row per method
         method = os.path.splitext(name)[0]
         try:
-            wide = read_table(spark, f"{folder.rstrip('/')}/{name}", "csv")
+            wide = read_table(spark, f"{folder.rstrip('/')}/{name}", "csv", multiline=multiline)
             numbers = feature_columns(wide)
             packed = pack(wide, numbers)
             cells = F.transform("embedding", lambda x: x.try_cast("float"))

@@ -308,12 +308,16 @@ def mean_component(digests: str, j: int) -> str:
 def words_cte(source: str, text: str) -> str:
     return (
         f"worded AS (SELECT *, {tokens(f'coalesce({text}, chr(32))')} AS words FROM {source}),\n"
-        "digested AS (SELECT *, list_transform(words, lambda w: md5(w)) AS digests FROM worded)"
+        "digested AS (SELECT *, list_transform(words, lambda w: md5(w)) AS digests,\n"
+        "  list_transform(words, lambda w: md5(w || '#1')) AS digests_1 FROM worded)"
     )
 
 
 def columns(make, n: int, source: str) -> str:
-    return ", ".join(f"{r6(make(source, j))} AS c{j}" for j in range(n))
+    """Components 16 and up come from a digest of their own."""
+    return ", ".join(
+        f"{r6(make(source if j < 16 else f'{source}_{j // 16}', j % 16))} AS c{j}" for j in range(n)
+    )
 
 
 def norm(a: str) -> str:
@@ -413,6 +417,15 @@ ORACLES: dict[str, str] = {
     "scrub_names": scrub_step(sql_names),
     "scrub_names_long": scrub_step(lambda t: sql_names(
         t, ("Mary Ann", "Mary", "O''Brien", "Jean-Luc", "John", "Sarah"))),
+    "scrub_names_table": with_(POSTS) + """,
+      listed AS (SELECT DISTINCT regexp_extract(text, '^[A-Z][a-z]+', 0) AS piece FROM documents),
+      cut AS (SELECT post_id, regexp_extract_all(raw_text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+') AS p
+        FROM posts WHERE raw_text IS NOT NULL),
+      each AS (SELECT post_id, unnest(p) AS piece, unnest(range(0, len(p))) AS i FROM cut),
+      named AS (SELECT post_id, string_agg(CASE WHEN listed.piece <> '' THEN '[NAME]' ELSE each.piece END,
+        '' ORDER BY i) AS t FROM each LEFT JOIN listed USING (piece) GROUP BY post_id)
+      SELECT post_id, CASE WHEN raw_text = '' THEN '' ELSE t END AS scrubbed_text
+      FROM posts LEFT JOIN named USING (post_id)""",
     "scrub_titles": scrub_step(sql_titles),
     "scrub_posts": with_(POSTS, SCRUBBED) + "SELECT post_id, raw_text, scrubbed_text FROM scrubbed",
     "scrub_posts_backend": with_(POSTS) + f"""SELECT post_id, scrubbed_text,
@@ -499,11 +512,11 @@ ORACLES: dict[str, str] = {
     "pool_mean": with_(POSTS, SCRUBBED, words_cte("scrubbed", "scrubbed_text"))
     + f"SELECT post_id, {columns(mean_component, 16, 'digests')} FROM digested",
     "embed_table": with_(POSTS, words_cte("posts", "raw_text"))
-    + f"SELECT post_id, 'raw_mean' AS method, {columns(mean_component, 4, 'digests')} FROM digested",
+    + f"SELECT post_id, 'raw_mean' AS method, {columns(mean_component, 20, 'digests')} FROM digested",
     "embed_methods": with_(POSTS, SCRUBBED, words_cte("scrubbed", "scrubbed_text")) + f"""
-      SELECT post_id, 'lexical_cls' AS method, {columns(first_component, 4, 'digests')} FROM digested
+      SELECT post_id, 'lexical_cls' AS method, {columns(first_component, 20, 'digests')} FROM digested
       UNION ALL
-      SELECT post_id, 'lexical_mean', {columns(mean_component, 4, 'digests')} FROM digested""",
+      SELECT post_id, 'lexical_mean', {columns(mean_component, 20, 'digests')} FROM digested""",
     "embed_external": with_(POSTS) + f""",
       hashed AS (SELECT post_id,
         md5({strip('replace(coalesce(raw_text, chr(32)), chr(10), chr(32))')}) AS h FROM posts)
@@ -685,3 +698,8 @@ ORACLES["compare_embeddings"] = (
 ORACLES["grid_search"] = (
     "SELECT c::DOUBLE AS c, true AS sound FROM (VALUES (0.01), (0.1), (1), (10), (100)) AS t(c)"
 )
+ORACLES["grid_search_forest"] = (
+    "SELECT t::INT AS trees, d::INT AS depth, r::INT AS leaf_rows, true AS sound "
+    "FROM (VALUES (50), (100), (200)) AS a(t), (VALUES (5), (10), (15), (30)) AS b(d), "
+    "(VALUES (1), (3), (5)) AS c(r)"
+)

@@ -239,3 +239,23 @@ def test_audit_modes_and_summary(texts):
     assert clean.total_issues == 0
     with pytest.raises(ValueError):
         audit.scrub_issues(df, scrubbed="raw_text", mode="other")
+
+
+def test_names_of_a_table_equal_the_pattern(spark):
+    import random
+
+    random.seed(6)
+    names = ["Mary", "Mary Ann", "Ann Lee", "O'Brien", "Jean-Luc", "Luc", "Zo\u00eb", "Mary Ann Lee Jones", "X"]
+    words = ["Mary", "Ann", "Lee", "Jones", "O", "Brien", "Jean", "Luc", "luc", "Zo\u00eb", "Zo", "X", "Xx", "and"]
+    gaps = [" ", " ", " ", "-", "'", ", ", "  ", ".", "\n"]
+    texts = ["".join(random.choice(words) + random.choice(gaps) for _ in range(random.randrange(25)))
+             for _ in range(300)] + [None, "", "Mary", "..Mary Ann", "no names"]
+    df = spark.createDataFrame(list(enumerate(texts)), "post_id long, raw_text string").repartition(4)
+    table = spark.createDataFrame([(n,) for n in [*names, " Luc ", "", None, "Luc"]], "name string")
+    got = {r.post_id: r.scrubbed_text for r in scrub.scrub_names_by_table(df, table).collect()}
+    want = df.withColumn("w", scrub.scrub_names(F.col("raw_text"), names))
+    assert got == {r.post_id: r.w for r in want.collect()}
+    none = scrub.scrub_names_by_table(df, table.limit(0))
+    assert none.filter("scrubbed_text IS DISTINCT FROM raw_text").count() == 0
+    with pytest.raises(ValueError, match="1 names"):
+        scrub.scrub_names_by_table(df, spark.createDataFrame([("J.",), ("Luc",)], "name string"))
