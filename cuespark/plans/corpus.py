@@ -32,10 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sentence_of(number: Column) -> Column:
+    """The cue sentence of a document's number."""
+    which = F.pmod(number, F.lit(len(CUE_SENTENCES))).cast("int")
+    return F.get(F.array(*[F.lit(s) for s, _ in CUE_SENTENCES]), which)
+
+
 def posts_of_documents(documents: DataFrame) -> DataFrame:
     """post_id, thread_id, raw_text, gold, female_pred; works on a stream as well."""
     which = F.pmod("doc_id", F.lit(len(CUE_SENTENCES))).cast("int")
-    sentence = F.get(F.array(*[F.lit(s) for s, _ in CUE_SENTENCES]), which)
+    sentence = sentence_of(F.col("doc_id"))
     gold = F.get(F.array(*[F.lit(g) for _, g in CUE_SENTENCES]), which)
     return documents.select(
         F.col("doc_id").alias("post_id"),

@@ -873,3 +873,27 @@ def stream_label_counts(spark, sf_dir):
         _document_stream(spark, sf_dir), sink, work_folder(spark, "stream-checkpoint")
     ).awaitTermination()
     return incremental.latest_counts(spark, sink).select("gender", F.col("count").alias("n"))
+
+
+@query
+def stream_revised_counts(spark, sf_dir):
+    """Labels of all posts after the revisions that `labels` brings: a toxic one withdraws its post,
+    another gives it the sentence of the next document.
+    """
+    documents = corpus.table(spark, sf_dir, "documents").schema
+    labels = corpus.table(spark, sf_dir, "labels").schema
+    first = corpus.posts_of_documents(
+        incremental.post_stream(spark, sf_dir, documents, "documents.parquet")
+    ).select("post_id", F.lit(0).alias("revision"), "raw_text")
+    later = incremental.post_stream(spark, sf_dir, labels, "labels.parquet")
+    next_text = corpus.sentence_of(F.col("doc_id") + 1)
+    revised = later.select(
+        F.col("doc_id").alias("post_id"), F.lit(1).alias("revision"),
+        F.when(F.col("toxic") == 0, next_text).alias("raw_text"),
+    )
+    sink = work_folder(spark, "stream-revisions")
+    incremental.run_label_changes(
+        incremental.label_changes(first.unionByName(revised)), sink,
+        work_folder(spark, "stream-checkpoint"),
+    ).awaitTermination()
+    return incremental.current_counts(spark, sink).select("gender", F.col("count").alias("n"))

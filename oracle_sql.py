@@ -640,6 +640,13 @@ ORACLES: dict[str, str] = {
     "stream_label_counts": with_(f"posts AS ({DOCUMENT_POSTS})")
     + f"SELECT {sql_gender('raw_text')} AS gender, count(*) AS n FROM posts GROUP BY ALL",
 }
+ORACLES["stream_revised_counts"] = with_(f"posts AS ({DOCUMENT_POSTS})") + f""",
+  revised AS (SELECT post_id, CASE WHEN toxic = 0 THEN {_SENTENCES} END AS raw_text
+    FROM (SELECT doc_id AS post_id, doc_id + 1 AS doc_id, toxic FROM labels)),
+  latest AS (SELECT * FROM revised UNION ALL
+    SELECT post_id, raw_text FROM posts WHERE post_id NOT IN (SELECT post_id FROM revised))
+  SELECT {sql_gender('raw_text')} AS gender, count(*) AS n FROM latest WHERE raw_text IS NOT NULL
+  GROUP BY ALL"""
 ORACLES["report_round_trip"] = ORACLES["label_counts"]
 
 BINARY = "two AS (SELECT * FROM vectors WHERE gender <> 'NEUTRAL')"

@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import SF_DIR, column
 from cuespark.operators.embed import embed_methods
@@ -13,6 +14,7 @@ from cuespark.plans import corpus, stages
 from cuespark.schema import POSTS, require_rows
 from cuespark.session import stored, work_folder
 from cuespark.sources import tables
+
 from cuespark.streaming import incremental
 
 
@@ -193,3 +195,25 @@ def test_embedding_values_survive_storage(spark, tmp_path, texts):
     got = {(r.post_id, r.method): r.embedding for r in spark.read.parquet(f"{tmp_path}/e").collect()}
     for r in made.collect():
         np.testing.assert_array_equal(got[(r.post_id, r.method)], r.embedding)
+
+
+def test_revisions_take_their_old_labels_back(spark, tmp_path):
+    drops = [
+        [(1, 0, "She is here."), (2, 0, "He left."), (3, 0, "Rain."), (4, 0, None), (5, 0, " "), (1, 0, "She is here.")],
+        [(1, 1, "He is here."), (2, 2, None), (3, 1, "Rain again."), (6, 0, "His hat."), (6, 1, "Her hat.")],
+        [(2, 1, "She left."), (1, 0, "She is here."), (4, 1, "He came."), (3, None, "She?"), (7, 0, "")],
+    ]
+    wanted = [
+        {"FEMALE": 1, "MALE": 1, "NEUTRAL": 1},
+        {"FEMALE": 1, "MALE": 1, "NEUTRAL": 1},  # late and repeated revisions change nothing
+        {"FEMALE": 1, "MALE": 2, "NEUTRAL": 1},
+    ]
+    schema = "post_id long, revision int, raw_text string"
+    for drop, want in zip(drops, wanted):
+        spark.createDataFrame(drop, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        posts = incremental.post_stream(spark, f"{tmp_path}/in", T._parse_datatype_string(schema))
+        incremental.run_label_changes(
+            incremental.label_changes(posts), f"{tmp_path}/out", f"{tmp_path}/check"
+        ).awaitTermination()
+        got = {r["gender"]: r["count"] for r in incremental.current_counts(spark, f"{tmp_path}/out").collect()}
+        assert got == want
