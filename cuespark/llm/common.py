@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from cuespark.session import stored
 
 
+KEPT_VALUES = 3  # values a worker keeps for later tasks; a job needs one or two
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,9 +39,11 @@ def worker_cache(key, make: Callable):
     """
     kept = sys.modules.setdefault("_cuespark_llm_kept", types.ModuleType("_cuespark_llm_kept"))
     values = kept.__dict__.setdefault("values", {})
-    if key not in values:
-        if len(values) >= 8:
-            values.clear()
+    if key in values:
+        values[key] = values.pop(key)  # the latest is last
+    else:
+        while len(values) >= KEPT_VALUES:
+            values.pop(next(iter(values)))
         values[key] = make()
     return values[key]
 
