@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuespark.llm.common import worker_cache
 from cuespark.session import stored
 
 CELL = 4096  # vectors and queries that meet in one task's call
@@ -95,34 +97,32 @@ def search_cell(qids, queries, ids, vectors, codes, scalar, turn, k, bound):
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def index(vectors: DataFrame, seed: int = 7) -> tuple[DataFrame, int]:
-    """(vec_id, vector, code, scalar) of all usable rows (vec_id, vector), and their dimension.
-
-    Vectors whose length is not the most frequent one (ties: the longest) cannot be compared and
-    take no part, as those that are not usable.
-    """
+def index(vectors: DataFrame, seed: int = 7) -> DataFrame:
+    """(vec_id, vector, dim, code, scalar) of all usable rows (vec_id, vector), stored."""
     fit = vectors.filter(usable("vector")).select(
-        "vec_id", F.col("vector").cast("array<double>").alias("vector")
+        "vec_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim")
     )
-    sizes = fit.groupBy(F.size("vector").alias("d")).count().collect()
-    dim = max(sizes, key=lambda r: (r["count"], r["d"]))["d"] if sizes else 0
 
     def code(batches):
-        turn = rotation(dim, seed)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes, scalar = one_bit_codes(_matrix(batch.column(1), dim), turn)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()),
-                 pa.array(scalar, pa.float64())],
-                names=["vec_id", "vector", "code", "scalar"],
-            )
-
-    coded = fit.filter(F.size("vector") == dim).mapInArrow(
-        code, "vec_id long, vector array<double>, code binary, scalar double"
+            for dim in pc.unique(batch.column("dim")).to_pylist():
+                rows = batch.filter(pc.equal(batch.column("dim"), dim))
+                codes, scalar = one_bit_codes(_matrix(rows.column("vector"), dim), turning(dim, seed))
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, pa.array([c.tobytes() for c in codes], pa.binary()),
+                     pa.array(scalar, pa.float64())],
+                    names=["vec_id", "vector", "dim", "code", "scalar"],
+                )
+
+    coded = fit.mapInArrow(
+        code, "vec_id long, vector array<double>, dim int, code binary, scalar double"
     )
-    return stored(coded, "ann-index"), dim
+    return stored(coded, "ann-index")
+
+
+def turning(dim: int, seed: int) -> np.ndarray:
+    """The rotation of a dimension, made once per worker."""
+    return worker_cache(("rotation", dim, seed), lambda: rotation(dim, seed))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -148,14 +148,15 @@ def nearest(
     bound leaves, and keeps k of each query.  At 3 standard errors a neighbour is missed about
     once in a thousand; recall measured against brute force is in the README.
 
+    Vectors of another length than a query's cannot be compared with it and are no candidates of it.
     Ties go to the smaller vec_id; fewer than k other rows are all returned.  NULL, zero and
     non-finite vectors, and rows without vec_id, take no part; repeated rows are candidates each; an
     empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     given = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector"))
-    coded, dim = index(given.filter("vec_id IS NOT NULL"), seed)
-    asked = coded.filter(queries).select("vec_id", "vector")
+    coded = index(given.filter("vec_id IS NOT NULL"), seed)
+    asked = coded.filter(queries).select("vec_id", "vector", "dim")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = max(tasks, coded.count() // CELL + 1)
     blocks = asked.count() // CELL + 1
@@ -170,19 +171,20 @@ def nearest(
 
     def meet(rows: pa.Table, own: pa.Table) -> pa.Table:
         if rows.num_rows and own.num_rows:
+            dim = rows["dim"][0].as_py()
             codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8)
             q, v, score = search_cell(
                 own["vec_id"].to_numpy(), _matrix(own["vector"], dim),
                 rows["vec_id"].to_numpy(), _matrix(rows["vector"], dim),
                 codes.reshape(rows.num_rows, -1), rows["scalar"].to_numpy(),
-                rotation(dim, seed), k, bound,
+                turning(dim, seed), k, bound,
             )
         else:
             q, v, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         return pa.table({"query_id": q, "vec_id": v, "score": score})
 
     found = (
-        left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block"))
+        left.groupBy("dim", "cell", "block").cogroup(right.groupBy("dim", "cell", "block"))
         .applyInArrow(meet, "query_id long, vec_id long, score double")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

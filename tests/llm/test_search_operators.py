@@ -101,6 +101,21 @@ def test_odd_vectors_take_no_part(spark):
     assert ann.nearest(_vectors(spark, given[:2]), F.col("vec_id") == 0).count() == 0
 
 
+def test_vectors_of_every_length_are_compared_among_themselves(spark):
+    rng = np.random.default_rng(9)
+    given = [rng.normal(size=(4, 16, 16, 33)[i % 4]) for i in range(200)]
+    found = ann.nearest(_vectors(spark, given), F.col("vec_id") % 10 == 0, bound=100.0).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in range(0, 200, 10):
+        own = [i for i in range(200) if len(given[i]) == len(given[q]) and i != q]
+        # the table holds floats
+        a, b = np.float32(given[q]).astype(float), [np.float32(given[i]).astype(float) for i in own]
+        order = np.argsort([-(a @ x) / np.linalg.norm(a) / np.linalg.norm(x) for x in b])[:5]
+        assert sorted(got[q]) == [(k + 1, own[i]) for k, i in enumerate(order)]
+
+
 # Benchmark passages.
 
 
