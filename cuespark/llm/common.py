@@ -105,22 +105,25 @@ def word_counts(docs: DataFrame, split: Callable[[bytes], Iterable[bytes]]) -> D
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def frequent_words(words: DataFrame, most: int, longest: int = 64) -> DataFrame:
-    """The words whose count n reaches a power of two that at most `most` words reach.
+def frequent_words(words: DataFrame, most: int, bytes_each: int = 64) -> DataFrame:
+    """The words whose count n reaches a power of two that at most `most` words reach, which have at
+    most `most * bytes_each` bytes together.
 
-    Words over `longest` bytes are left out, so that the result has a proven size: at most
-    `most * (longest + values)` bytes.  It only decides where a word's value is looked up.
+    So the result has a proven size, and a frequent word is in it however long it is.  It only decides
+    where a word's value is looked up.
     """
-    short = words.filter(F.length("word") <= longest)
     power = F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int").alias("p")
-    sizes = short.groupBy(power).count().collect()
-    total, least = 0, 62
-    for p, n in sorted(((r["p"], r["count"]) for r in sizes), reverse=True):
-        total += n
-        if total > most:
+    sizes = words.groupBy(power).agg(
+        F.count("*").alias("words"), F.sum(F.length("word")).alias("bytes")
+    ).collect()
+    total = size = 0
+    least = 62
+    for r in sorted(sizes, key=lambda r: -r["p"]):
+        total, size = total + r["words"], size + r["bytes"]
+        if total > most or size > most * bytes_each:
             break
-        least = p
-    return short.filter(F.greatest("n", F.lit(1)) >= 2**least)
+        least = r["p"]
+    return words.filter(F.greatest("n", F.lit(1)) >= 2**least)
 
 
 def sums_by_word(

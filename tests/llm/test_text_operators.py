@@ -276,3 +276,21 @@ def test_one_row_of_each_component_stays_as_it_was(spark, tmp_path):
     assert kept.columns == stored.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert ids == sorted([0, 3, 4, 5, *range(8, len(ODD_TEXTS)), None], key=str)
+
+
+def test_a_frequent_word_is_looked_up_near_however_long_it_is(spark):
+    from cuespark.llm.common import frequent_words
+
+    rows = [(b"x" * 5000, 4000), *((f"w{i}".encode(), 3) for i in range(500)), (b"y" * 900, 3)]
+    words = spark.createDataFrame(rows, "word binary, n long")
+    assert [len(r["word"]) for r in frequent_words(words, 100).collect()] == [5000]
+    assert frequent_words(words, 1000).count() == 502
+    assert frequent_words(words, 1000, 1).count() == 0
+    assert frequent_words(words.limit(0), 10).count() == 0
+
+
+def test_long_hot_words_are_counted(spark, library):
+    texts = ["z" * 3000 + f" word{i % 7} end" for i in range(200)]
+    found = counts.count_tokens(docs(spark, texts), tokenizer_file(WORDS)).collect()
+    for r in found:
+        assert r["n_tokens"] == len(library[WORDS].encode(texts[r["doc_id"]], add_special_tokens=False).ids)
