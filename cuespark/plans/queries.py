@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuespark.functions import text as tx
+from cuespark.functions.hashing import row_key
 from cuespark.functions.responses import parse_label, parse_scrub
 from cuespark.functions.vectors import pack, unpack
 from cuespark.operators import (
@@ -16,7 +17,7 @@ from cuespark.operators import (
 )
 from cuespark.operators import prepare as prep
 from cuespark.operators import sampling, scrub, similarity
-from cuespark.plans import corpus
+from cuespark.plans import corpus, stages
 from cuespark.plans.backends import BracketBackend, CueBackend, DigestEncoder, FailingEncoder
 from cuespark.session import stored, work_folder
 from cuespark.sources import tables
@@ -823,6 +824,59 @@ def compare_embeddings(spark, sf_dir):
     )
 
 
+def _few(dim: int, n_classes: int):
+    return models.registry(dim, n_classes, trees=20, models=[models.LASSO, models.FOREST])
+
+
+@query
+def models_reloaded(spark, sf_dir):
+    """Models that were saved and loaded predict what they predicted before."""
+    data = prep.prepare(_binary_vectors(spark, sf_dir))
+    fitted, results = models.train_models(data, _few(data.dim, 2), cv_folds=None)
+    folder = work_folder(spark, "saved-models")
+    models.save_models(spark, folder, fitted, data.preprocessing, results)
+    loaded, _, _ = models.load_models(spark, folder)
+    both = [
+        models.predict(m, data.test).select("vec_id", "model", F.col("prediction").alias(c))
+        for m, c in ((fitted, "before"), (loaded, "after"))
+    ]
+    same = stored(
+        both[0].join(both[1], ["vec_id", "model"]).select(
+            "vec_id", "model", (F.col("before") == F.col("after")).alias("same")
+        ),
+        "reloaded",
+    )
+    data.unpersist()
+    return same
+
+
+@query
+def train_single(spark, sf_dir):
+    """The run over one method with its reports; of each report the lines and their supports."""
+    out = work_folder(spark, "single")
+    rows = corpus.methods(corpus.vectors(spark, sf_dir))
+    stages.train_stage(
+        rows, out, method="half32", key="vec_id", binary=True, make_estimators=_few, cv_folds=None
+    )
+    reports = [
+        tables.read_report(spark, f"{out}/{name.lower().replace(' ', '_')}/classification_report.json")
+        .select(F.lit(name).alias("model"), F.col("class"), F.col("support").cast("long").alias("support"))
+        for name in (models.LASSO, models.FOREST)
+    ]
+    return reports[0].unionByName(reports[1])
+
+
+@query
+def row_keys(spark, sf_dir):
+    """Rows without a key of their own get one; equal rows share it."""
+    shown = corpus.posts(spark, sf_dir).select("raw_text", "gold")
+    keyed = shown.select(row_key("raw_text", "gold").alias("k"), "raw_text", "gold")
+    return keyed.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("k").alias("n_keys"),
+        F.count_if(F.col("k").isNull()).alias("without"),
+    )
+
+
 @query
 def grid_search(spark, sf_dir):
     data = prep.prepare(_binary_vectors(spark, sf_dir))

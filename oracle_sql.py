@@ -710,3 +710,15 @@ ORACLES["grid_search_forest"] = (
     "FROM (VALUES (50), (100), (200)) AS a(t), (VALUES (5), (10), (15), (30)) AS b(d), "
     "(VALUES (1), (3), (5)) AS c(r)"
 )
+ORACLES["models_reloaded"] = with_(VECTORS, BINARY, split_ctes("two", "vec_id", 42)) + f"""
+  SELECT vec_id, model, true AS same
+  FROM parts, (SELECT unnest([{listed(MODELS[:2])}]) AS model) WHERE split = 'test'"""
+ORACLES["train_single"] = with_(VECTORS, BINARY, split_ctes("two", "vec_id", 42)) + f""",
+  counts AS (SELECT CASE gender WHEN 'FEMALE' THEN '0.0' ELSE '1.0' END AS c, count(*) AS n
+    FROM parts WHERE split = 'test' GROUP BY gender),
+  lines AS (SELECT c, n FROM counts UNION ALL
+    SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), sum(n)::BIGINT FROM counts)
+  SELECT model, c AS "class", n AS support FROM lines, (SELECT unnest([{listed(MODELS[:2])}]) AS model)"""
+ORACLES["row_keys"] = with_(POSTS) + """
+  SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT raw_text, gold FROM posts)) AS n_keys,
+    0::BIGINT AS without FROM posts"""

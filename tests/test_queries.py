@@ -12,7 +12,7 @@ from cuespark.plans import queries
 QUERIES, ORACLES = dict(queries.QUERIES), dict(oracle_sql.ORACLES)
 # Many fits: compared with SQL, but their plans are not looked at.
 SLOW = {n for n in QUERIES if n.startswith(("train_", "grid_search"))} | {"compare_embeddings"}
-SLOW |= {"boosted_first_splits"}
+SLOW |= {"boosted_first_splits", "models_reloaded"}
 # Results a table cannot be compared with: learned vectors.
 WITHOUT_SQL = {"embed_learned"}
 
