@@ -27,11 +27,10 @@ def post_stream(
     pattern: str | None = None,
     max_files: int = 1000,
 ) -> DataFrame:
-    """Parquet files arriving below `path`."""
+    """Parquet files arriving below `path`; with `pattern`, files of that name or in folders of it."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.parquet(path)
+    # in braces even a plain name is a glob, which may be a file or a folder
+    return reader.parquet(f"{path}/{{{pattern}}}" if pattern else path)
 
 
 def label_and_scrub(

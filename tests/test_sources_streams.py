@@ -151,6 +151,24 @@ def test_running_counts(spark, tmp_path):
     assert got == {r.gender: r["count"] for r in want}
 
 
+@pytest.mark.parametrize("folder", [False, True])
+def test_stream_of_a_table_of_one_file_or_many(spark, tmp_path, folder):
+    """A table is a file or a folder of part files; its neighbours are not read."""
+    import shutil
+
+    from cuespark.plans.queries import QUERIES
+
+    for name in ("documents", "labels"):
+        source = spark.read.parquet(f"{SF_DIR}/{name}.parquet")
+        if folder:
+            source.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+        else:
+            shutil.copy(f"{SF_DIR}/{name}.parquet", tmp_path)
+    for name in ("stream_label_scrub", "stream_label_counts", "stream_revised_counts"):
+        want = QUERIES[name](spark, SF_DIR).collect()
+        assert want and sorted(QUERIES[name](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_all_stages(spark, tmp_path):
     out = str(tmp_path)
     posts = corpus.posts(spark, SF_DIR)
