@@ -32,6 +32,7 @@ UNIT = float(1 << 24)  # gradients are whole multiples of 1 / UNIT
 BLOCK_ROWS = 65_536  # rows that are taken together in a task
 BLOCK_FEATURES = 64  # features whose sums are reduced together
 POINTS = 2_048  # order statistics that stand for a block's values of a feature
+NEAR = 16  # points near each cut between which rows are counted
 CUT_ROUNDS = 25  # rounds after which the rows' state is written and lineage cut
 
 
@@ -420,14 +421,69 @@ def fit_boosted(
 
 
 def _edges(values: RDD, bins: int) -> list[np.ndarray]:
-    """Per feature its cut points, at most bins - 1."""
+    """Per feature its cut points: the values of the ranks ceil(i * n / bins), at most bins - 1.
+
+    Summaries of the tasks say about where a rank is.  Where they left values out, exact counts
+    between their points say in which interval it is, and only those intervals' values are counted one
+    by one, so that the cuts are the same for any tasks.
+    """
 
     def parts(m):
         for j, column in enumerate(m[0].T):
             yield j, _summary(column)
 
-    found = values.flatMap(parts).reduceByKey(_merged).mapValues(lambda p: _cuts(*p, bins)).collect()
-    return [cuts for _, cuts in sorted(found, key=lambda x: x[0])]
+    def brief(found):  # cuts, or points near them if values were left out
+        points, weights = found
+        if (weights == 1).all():
+            return True, _cuts(points, weights, bins)
+        return False, np.unique(np.concatenate([points[:1], _cuts(points, weights, NEAR * bins), points[-1:]]))
+
+    found = dict(values.flatMap(parts).reduceByKey(_merged).mapValues(brief).collect())
+    if all(exact for exact, _ in found.values()):
+        return [found[j][1] for j in sorted(found)]
+    near = [found[j][1] for j in sorted(found)]
+
+    def between(matrices):  # rows per feature and interval (points[i - 1], points[i]]
+        total = {}
+        for x, _, _ in matrices:
+            for j, points in enumerate(near):
+                own = np.bincount(np.searchsorted(points, x[:, j]), minlength=len(points) + 1)
+                total[j] = total[j] + own if j in total else own
+        return total.items()
+
+    rows = dict(values.mapPartitions(between).reduceByKey(np.add).collect())
+    wanted: dict[int, dict[int, list[int]]] = {}
+    for j in range(len(near)):
+        ends = np.cumsum(rows[j])
+        for rank in np.ceil(np.arange(1, bins) * ends[-1] / bins - 1e-9).astype(np.int64).tolist():
+            i = int(np.searchsorted(ends, rank))
+            wanted.setdefault(j, {}).setdefault(i, []).append(rank - int(ends[i] - rows[j][i]))
+
+    def inside(matrices):
+        for x, _, _ in matrices:
+            for j, intervals in wanted.items():
+                at = np.searchsorted(near[j], x[:, j])
+                hit = np.isin(at, list(intervals))
+                own, column = at[hit], x[hit, j]
+                order = np.lexsort((column, own))
+                own, column = own[order], column[order]
+                starts = np.flatnonzero(np.diff(own, prepend=-1))
+                for a, b in zip(starts, [*starts[1:], len(own)]):
+                    yield (j, int(own[a])), np.unique(column[a:b], return_counts=True)
+
+    def counted(a, b):
+        values = np.concatenate([a[0], b[0]])
+        kept, at = np.unique(values, return_inverse=True)
+        return kept, np.bincount(at, np.concatenate([a[1], b[1]]), len(kept)).astype(np.int64)
+
+    def picked(item):
+        (j, i), (points, counts) = item
+        return j, points[np.searchsorted(np.cumsum(counts), wanted[j][i])].tolist()
+
+    cuts: dict[int, set] = {j: set() for j in range(len(near))}
+    for j, own in values.flatMap(lambda m: inside([m])).reduceByKey(counted).map(picked).collect():
+        cuts[j].update(own)
+    return [np.array(sorted(cuts[j])) for j in sorted(cuts)]
 
 
 def _advanced(sc, blocks: RDD, trees: dict[tuple[int, int], Tree]) -> RDD:

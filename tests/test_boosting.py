@@ -174,3 +174,15 @@ def test_cross_validation_uses_the_fold_models(spark):
     got = results[models.BOOSTED_SLOW]
     assert got["cv_accuracy_mean"] == pytest.approx(np.mean(scores))
     assert got["cv_accuracy_std"] == pytest.approx(np.std(scores))
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_cuts_of_large_blocks_are_exact_ranks(spark, parts):
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.normal(size=30_000), rng.integers(0, 40, 30_000), rng.normal(size=30_000) ** 5], 1)
+    x[::3, 2] = 7.0  # a heavy value
+    none = np.zeros(0)
+    blocks = spark.sparkContext.parallelize([(b, none, none) for b in np.array_split(x, parts)], parts)
+    ranks = np.ceil(np.arange(1, 255) * 30_000 / 255 - 1e-9).astype(int) - 1
+    for found, column in zip(boosting._edges(blocks, 255), x.T):
+        assert found.tolist() == np.unique(np.sort(column)[ranks]).tolist()
