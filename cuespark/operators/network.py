@@ -2,7 +2,8 @@
 
 Rows are dealt once, in the order of a hash, into batches of equal size.  A step takes some of them:
 every task computes the gradients of its batches, they are added up as a tree, and Adam moves the
-weights.  A batch is normalised by its own mean and variance, and its dropout comes from its number,
+weights.  Where a step is one batch, nothing can be computed side by side: an epoch is cut into runs
+of batches, and a task takes the weights through one run and hands them on.  A batch is normalised by its own mean and variance, and its dropout comes from its number,
 so that the weights do not depend on how many tasks there are.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EPSILON, MOMENTUM = 1e-5, 0.1  # of batch normalisation
+RUN_ROWS = 65_536  # rows of the steps that a task takes one after another
 
 
 @dataclass
@@ -123,14 +125,38 @@ class Adam:
         self.turn += 1
         out = list(weights)
         for i in trained(weights):
-            g = gradient[i]
-            self.first[i] = 0.9 * self.first[i] + 0.1 * g
-            self.second[i] = 0.999 * self.second[i] + 0.001 * g * g
-            m = self.first[i] / (1 - 0.9**self.turn)
-            v = self.second[i] / (1 - 0.999**self.turn)
-            out[i] = weights[i] - self.rate * m / (np.sqrt(v) + 1e-8)
+            first, second, g = self.first[i], self.second[i], gradient[i]
+            first *= 0.9
+            first += 0.1 * g
+            second *= 0.999
+            square = 0.001 * g
+            square *= g
+            second += square
+            np.divide(second, 1 - 0.999**self.turn, out=square)
+            np.sqrt(square, out=square)
+            square += 1e-8
+            np.divide(first, square, out=square)
+            square *= self.rate / (1 - 0.9**self.turn)
+            out[i] = weights[i] - square
         return out
 
+    def state(self) -> tuple[int, Weights, Weights]:
+        return self.turn, self.first, self.second
+
+    def resume(self, state: tuple[int, Weights, Weights]) -> Adam:
+        self.turn, self.first, self.second = state[0], *([w.copy() for w in part] for part in state[1:])
+        return self
+
+
+def moved(weights: Weights, adam: Adam, total: Weights, n: int) -> Weights:
+    """The weights after a step over n rows with these summed gradients."""
+    mean = [t / n for t in total]
+    after = adam.move(weights, mean)
+    for i in range(len(weights)):
+        if i % 6 >= 4:
+            after[i] = (1 - MOMENTUM) * weights[i] + MOMENTUM * mean[i]
+    return after
+
 
 def epoch_order(batches: int, seed: int, epoch: int) -> np.ndarray:
     """The step order of the batches: batch number -> its place in the epoch."""
@@ -178,14 +204,12 @@ def fit_network(
     steps = -(-batches // s.per_step)
     for epoch in range(s.epochs):
         place = epoch_order(batches, s.seed, epoch)
-        for step in range(steps):
-            chosen = frozenset(np.flatnonzero(place // s.per_step == step).tolist())
-            total, n = _step(sc, train, chosen, weights, s, epoch)
-            running = [6 * k + j for k in range(len(s.hidden)) for j in (4, 5)]
-            mean = [t / n for t in total]
-            weights = adam.move(weights, mean)
-            for i in running:
-                weights[i] = (1 - MOMENTUM) * weights[i] + MOMENTUM * mean[i]
+        if s.per_step == 1:
+            weights = _chain(sc, train, place, weights, adam, s, epoch)
+        else:
+            for step in range(steps):
+                chosen = frozenset(np.flatnonzero(place // s.per_step == step).tolist())
+                weights = moved(weights, adam, *_step(sc, train, chosen, weights, s, epoch))
         score = _accuracy(sc, judged, weights)
         scores.append(score)
         if score > best[0]:
@@ -195,6 +219,32 @@ def fit_network(
     return best[1], scores
 
 
+def _chain(sc, train, place: np.ndarray, weights: Weights, adam: Adam, s: Settings, epoch: int) -> Weights:
+    """The weights after an epoch of steps of one batch each; adam moves along."""
+    size = max(1, RUN_ROWS // s.batch)
+    order = sc.broadcast(place)
+    runs = train.map(lambda item: (int(order.value[item[0]]), item)).partitionBy(
+        -(-len(place) // size), lambda at: at // size
+    )
+    seed, dropout, rate = s.seed, s.dropout, s.rate
+    for run in range(runs.getNumPartitions()):
+        held = sc.broadcast((weights, adam.state()))
+
+        def follow(items, held=held):
+            weights, state = held.value
+            own = Adam(weights, rate).resume(state)
+            for _, (number, x, label) in sorted(items, key=lambda item: item[0]):
+                rng = np.random.default_rng([seed, epoch, number])
+                weights = moved(weights, own, gradients(weights, x, label, dropout, rng)[1], len(x))
+            return [(weights, own.state())]
+
+        weights, state = sc.runJob(runs, follow, [run])[0]
+        adam.resume(state)
+        held.unpersist()
+    order.unpersist()
+    return weights
+
+
 def _step(sc, train, chosen: frozenset, weights: Weights, s: Settings, epoch: int) -> tuple[Weights, int]:
     """Summed gradients of the chosen batches, and their rows."""
     held = sc.broadcast(weights)

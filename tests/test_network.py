@@ -64,6 +64,38 @@ def test_training_equals_the_same_steps_in_one_place(spark):
     assert max(scores) == best[0]
 
 
+def test_steps_of_one_batch_are_no_jobs_of_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(400, 3)), rng.integers(0, 2, 400)
+    data = table(spark, x, y)
+    s = network.Settings((5,), epochs=2, batch=8, dropout=0.2, validation=0.0)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    one, scores = network.fit_network(data, s, tasks=3)
+    assert len(tracker.getJobIdsForGroup("chain")) < 25  # 100 steps
+    spark.sparkContext.setJobGroup("other", "other")
+    monkeypatch.setattr(network, "RUN_ROWS", 56)
+    many, same = network.fit_network(data.repartition(4), s, tasks=2)
+    assert scores == same and all(np.array_equal(a, b) for a, b in zip(one, many))
+
+    made, n = network._batches(_rows(data, s), s, 2)
+    batches = {i: (bx, by) for i, bx, by in made.collect()}
+    weights = network.start_weights([3, 5, 2], s.seed)
+    adam, best = network.Adam(weights, s.rate), (-1, None)
+    for epoch in range(2):
+        for i in np.argsort(network.epoch_order(n, s.seed, epoch)):
+            g = network.gradients(weights, *batches[i], 0.2, np.random.default_rng([s.seed, epoch, i]))[1]
+            mean = [v / len(batches[i][0]) for v in g]
+            moved = adam.move(weights, mean)
+            for k in (4, 5):
+                moved[k] = 0.9 * weights[k] + 0.1 * mean[k]
+            weights = moved
+        score = (network.forward(weights, x).argmax(1) == y).mean()
+        if score > best[0]:
+            best = (score, [w.copy() for w in weights])
+    assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(one, best[1]))
+
+
 def _rows(data, s):
     from pyspark.ml.functions import vector_to_array
     from pyspark.sql import functions as F
