@@ -93,3 +93,14 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan
     plan = plan_of(built(spark, "norm_stats"))
     assert "ReadSchema: struct<embedding:array<float>>" in plan
+
+
+def test_a_regression_on_labels_by_chance_has_learned_if_its_loss_is_less(spark):
+    """It predicts the largest class alone, as it should; shares themselves, or worse, are no learning."""
+    rows = [(float(i % 5 > 2), 0.0, [0.62, 0.38] if i % 5 < 3 else [0.58, 0.42], "lasso") for i in range(50)]
+    rows += [(float(i % 5 > 2), 0.0, [0.6, 0.4], "shares") for i in range(50)]
+    rows += [(float(i % 5 > 2), 0.0, [0.58, 0.42] if i % 5 < 3 else [0.62, 0.38], "worse") for i in range(50)]
+    rows += [(float(i % 5 > 2), 0.0, None, "no probability") for i in range(50)]
+    seen = spark.createDataFrame(rows, "label double, prediction double, probability array<double>, model string")
+    got = {r.model: r.learned for r in queries._learned(seen, [0.6, 0.4]).collect()}
+    assert got == {"lasso": True, "shares": False, "worse": False, "no probability": False}
