@@ -3,7 +3,7 @@
 Settings follow the published study where Spark has them.  Deliberate differences:
 * boosted trees are those of `boosting`: histograms, by leaf or by level, a softmax for three classes;
 * the network is that of `network`, or Spark's multilayer perceptron (sigmoid units, L-BFGS);
-* forests bin their features and stop at depth 30, Spark's limit.
+* forests are those of `forest`: 32 bins, at most 30 levels, trees grown in tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -31,6 +30,7 @@ from pyspark.sql import types as T
 
 from cuespark.operators.boosting import BoostedTrees
 from cuespark.operators.evaluate import accuracy, best_model
+from cuespark.operators.forest import RandomForest, grid_accuracy
 from cuespark.operators.network import MiniBatchNetwork
 from cuespark.operators.prepare import Prepared, prepare
 from cuespark.operators.sampling import class_counts, stratified_folds, stratified_split
@@ -117,10 +117,7 @@ def registry(
 
     made = {
         LASSO: LassoLogistic(C=C, maxIter=max_iter),
-        FOREST: RandomForestClassifier(
-            numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed,
-            minInstancesPerNode=1,
-        ),
+        FOREST: RandomForest(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=1),
         MLP: network(dim, n_classes),
         BOOSTED_SLOW: by_leaf,
         BOOSTED_DEEP: by_level,
@@ -339,10 +336,13 @@ def tune(
         return {}
     try:
         folded = stratified_folds(data.train, target, key, cv_folds, seed)
-        found = cross_validator(estimator, grid, cv_folds).fit(folded)
+        if isinstance(estimator, RandomForest):
+            scores, stds, model = _forest_grid(estimator, grid, folded, cv_folds)
+        else:
+            found = cross_validator(estimator, grid, cv_folds).fit(folded)
+            scores, stds, model = list(map(float, found.avgMetrics)), found.stdMetrics, found.bestModel
     except Exception as problem:  # reported like a failed training
         return {"error": _short(problem)}
-    scores = [float(m) for m in found.avgMetrics]
     best = max(range(len(scores)), key=scores.__getitem__)
     readable = [{p.name: v for p, v in params.items()} for params in grid]
     return {
@@ -350,12 +350,43 @@ def tune(
         "best_score": scores[best],
         "cv_results": [
             {"params": p, "mean": m, "std": float(s)}
-            for p, m, s in zip(readable, scores, found.stdMetrics)
+            for p, m, s in zip(readable, scores, stds)
         ],
-        "models": {f"{name}_tuned": found.bestModel},
+        "models": {f"{name}_tuned": model},
     }
 
 
+def _forest_grid(
+    estimator: RandomForest, grid: list[dict], folded: DataFrame, folds: int
+) -> tuple[list[float], list[float], object]:
+    """(means, population stds, the model of all rows at the first best point) of a forest's grid.
+
+    Points that differ in numbers of trees and depths alone share the fits of the largest: fewer trees
+    are its first ones, and lower trees the upper parts of its own.
+    """
+    points = [{**estimator.extractParamMap(), **p} for p in grid]
+    shape = [(p[estimator.numTrees], p[estimator.maxDepth]) for p in points]
+    rest = [
+        {q: v for q, v in p.items() if q not in (estimator.numTrees, estimator.maxDepth)} for p in points
+    ]
+    folded = folded.persist()
+    scores: list[list[float]] = [[] for _ in points]
+    for own in [r for i, r in enumerate(rest) if r not in rest[:i]]:
+        at = [i for i, r in enumerate(rest) if r == own]
+        counts, depths = ({shape[i][k] for i in at} for k in (0, 1))
+        largest = {**own, estimator.numTrees: max(counts), estimator.maxDepth: max(depths)}
+        for f in range(folds):
+            model = estimator.fit(folded.filter(F.col("fold") != f), largest)
+            found = grid_accuracy(model, folded.filter(F.col("fold") == f), list(counts), list(depths))
+            for i in at:
+                scores[i].append(found[shape[i]])
+    means = [sum(s) / folds for s in scores]
+    stds = [math.sqrt(sum((x - m) ** 2 for x in s) / folds) for s, m in zip(scores, means)]
+    best = estimator.fit(folded, grid[max(range(len(means)), key=means.__getitem__)])
+    folded.unpersist()
+    return means, stds, best
+
+
 def _slug(name: str) -> str:
     return re.sub(r"[^a-z0-9.]+", "_", name.lower())
 
