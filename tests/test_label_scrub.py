@@ -259,3 +259,14 @@ def test_names_of_a_table_equal_the_pattern(spark):
     assert none.filter("scrubbed_text IS DISTINCT FROM raw_text").count() == 0
     with pytest.raises(ValueError, match="1 names"):
         scrub.scrub_names_by_table(df, spark.createDataFrame([("J.",), ("Luc",)], "name string"))
+
+
+def test_names_by_table_take_work_in_proportion_to_a_text(spark):
+    """The rows of a text's spans do not hold the list of all its pieces."""
+    texts = spark.createDataFrame([(1, "Mary Ann met Bob and Mary. Bobby left " * 50)], "post_id bigint, raw_text string")
+    names = spark.createDataFrame([("Mary Ann",), ("Mary",), ("Bob",)], "name string")
+    made = scrub.scrub_names_by_table(texts, names)
+    assert made.first()["scrubbed_text"] == "[NAME] met [NAME] and [NAME]. Bobby left " * 50
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line.split("Generate", 1)[1].split("],", 1)[-1] for line in plan.splitlines() if "Generate" in line]
+    assert generated and not any("_pieces" in line for line in generated)
