@@ -204,3 +204,22 @@ def test_spread_of_all_pairs(spark):
     assert got["c", 2].mean_similarity is None and got["c", 2].std_similarity is None
     assert got["b", 2].n_vectors == 1 and len(got) == 4
     assert similarity.similarity_spread(df.limit(0), "method").count() == 0
+
+
+def test_sums_of_long_texts_stay_exact(spark):
+    """Texts at, and over, the number of words up to which three sums share a number."""
+    import hashlib
+
+    from cuespark.operators import embed
+
+    digests = {w: hashlib.md5(w.encode()).hexdigest() for w in ("a", "b")}
+    for n in (0, 1, embed._APART, embed._APART + 1):
+        text = " ".join(["a"] * (n - n // 3) + ["b"] * (n // 3))
+        rows = spark.createDataFrame([(1, text)], "post_id bigint, t string")
+        got = embed.embed_table(rows, "t", dim=20).first()["embedding"]
+        for j, value in enumerate(got):
+            if j < 16:
+                part = {w: int(d[14 * (j // 8) :][:14], 16) >> 7 * (j % 8) & 127 for w, d in digests.items()}
+                total = part["a"] * (n - n // 3) + part["b"] * (n // 3)
+                assert value == (np.float32(total / n / 63.5 - 1.0) if n else 0.0)
+        assert len(got) == 20
