@@ -16,6 +16,8 @@ from cuespark.functions.text import (
 )
 from cuespark.operators.sampling import sample_rows
 from cuespark.schema import require_columns
+from cuespark.session import stored
+
 
 def length_delta(df: DataFrame, text: str = "raw_text", scrubbed: str = "scrubbed_text"):
     """Mean shortening in characters; rows with a NULL side do not count."""
@@ -151,9 +153,13 @@ def issue_rate(
     looked_at = require_columns(df, key, scrubbed).select(key, scrubbed)
     if sample_size is not None:
         looked_at = sample_rows(looked_at, sample_size, key, seed)
-    counted = looked_at.select(
-        F.col(key).alias("_key"),
-        F.size(audit_matches(F.coalesce(F.col(scrubbed), F.lit("None")))).alias("_issues")
+    # the counts are stored: the first posts with issues are asked of them, not of the texts again
+    counted = stored(
+        looked_at.select(
+            F.col(key).alias("_key"),
+            F.size(audit_matches(F.coalesce(F.col(scrubbed), F.lit("None")))).alias("_issues"),
+        ),
+        "issue-counts",
     )
     return counted.agg(
         F.count(F.lit(1)).alias("total_texts"),
@@ -182,7 +188,9 @@ def modification_summary(
     """How many posts changed, what they gained, and the ids of those that gained most."""
     before, after = (F.coalesce(F.col(c), F.lit("")) for c in (text, scrubbed))
     gained = (bracket_count(after) - bracket_count(before)).alias("_gained")
-    rows = df.select(F.col(key).alias("_key"), (before != after).alias("_modified"), gained)
+    rows = stored(
+        df.select(F.col(key).alias("_key"), (before != after).alias("_modified"), gained), "modifications"
+    )
     replaced = F.when(F.col("_modified"), F.col("_gained"))
     return rows.agg(
         F.count(F.lit(1)).alias("total_texts"),

@@ -270,3 +270,12 @@ def test_names_by_table_take_work_in_proportion_to_a_text(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     generated = [line.split("Generate", 1)[1].split("],", 1)[-1] for line in plan.splitlines() if "Generate" in line]
     assert generated and not any("_pieces" in line for line in generated)
+
+
+def test_summaries_search_texts_once(texts, capsys):
+    """Examples are taken from the stored counts: the plan of a summary searches no text again."""
+    df = texts("she [X] said", "nothing", None).withColumn("scrubbed_text", F.upper("raw_text"))
+    for made in (audit.issue_rate(df), audit.modification_summary(df)):
+        made.explain()
+        assert "regexp" not in capsys.readouterr().out
+        assert made.first()["total_texts"] == 3
