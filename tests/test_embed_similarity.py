@@ -223,3 +223,13 @@ def test_sums_of_long_texts_stay_exact(spark):
                 total = part["a"] * (n - n // 3) + part["b"] * (n // 3)
                 assert value == (np.float32(total / n / 63.5 - 1.0) if n else 0.0)
         assert len(got) == 20
+
+
+def test_texts_are_cleaned_and_hashed_once(texts, capsys):
+    """The joined rows come from a stored copy: their plan hashes no text again."""
+    df = texts("one two", " one two\n", "three", None)
+    made = embed.embed_external(df, DigestEncoder, DigestEncoder.dim, "digest", text="raw_text")
+    made.explain()
+    assert "sha2(" not in capsys.readouterr().out
+    found = column(made, "embedding")
+    assert found[0] == found[1] != found[2] and len(found) == 4

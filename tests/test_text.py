@@ -74,3 +74,12 @@ def test_seeded_keys_are_uniform_and_stable(spark):
     assert abs(mean - 0.5) < 0.01 and low >= 0 and high < 1
     keys = df.select(row_key(F.col("id")).alias("k")).distinct().count()
     assert keys == 20000
+
+
+def test_strip_looks_at_the_ends_alone(texts):
+    spaces = [" a b\U0001f600", "\U0001f600 a 　", "\U0001f600", "a\nb", " \U0001f600 ", "x\x1f"]
+    df = texts(*spaces, None).select(
+        "post_id", tx.strip(F.col("raw_text")).alias("s"), tx.clean_for_encoder(F.col("raw_text")).alias("c")
+    )
+    assert column(df, "s") == [s.strip() for s in spaces] + [None]
+    assert column(df, "c") == [s.replace("\n", " ").strip() for s in spaces] + [""]
