@@ -14,6 +14,7 @@ from cuespark.session import stored
 
 
 KEPT_VALUES = 3  # values a worker keeps for later tasks; a job needs one or two
+EDGES = 1 << 16  # edges that one task takes as a whole
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -197,25 +198,28 @@ def sums_by_word(
 # Connected components.
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, most: int = EDGES) -> DataFrame:
     """(node, component) of the graph with edges (a, b); component is its smallest node.
 
     Alternating stars: every node's larger neighbours move to its smallest neighbour, then every
     node and its smaller neighbours do.  Rounds needed grow with the logarithm of the longest
     path.  Each round is written to the shared folder, so lineage stays short and a lost executor
     costs no round.  Minima are pre-aggregated, and joins by node can be split where a node has
-    very many neighbours.
+    very many neighbours.  A graph of up to `most` edges, from the start or after a round, needs no
+    further rounds: one task unites it.
     """
     edges = stored(
         links.filter("a <> b").select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-        ).distinct(),
+        ),
         "links",
     )
     before = None
     for _ in range(rounds):
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == before or not now[0]:
+        if now[0] <= most:
+            return _united(edges)
+        if now == before:
             break
         before = now
         edges = stored(_star(_star(edges, True), False), "links")
@@ -227,6 +231,33 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     )
 
 
+def _united(edges: DataFrame) -> DataFrame:
+    """(node, component) of a table of few edges, in one task."""
+
+    def unite(batches):
+        above: dict = {}  # a node of the same component, the smaller one
+
+        def top(x):
+            above.setdefault(x, x)
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("a").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = top(a), top(b)
+                above[max(a, b)] = min(a, b)
+        if kind is not None:
+            yield from batches_of(
+                ((x, top(x)) for x in list(above)), pa.schema([("node", kind), ("component", kind)])
+            )
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.select("a", "b").coalesce(1).mapInArrow(unite, f"node {kind}, component {kind}")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (a > b), as edges (a > b)."""
     if large:

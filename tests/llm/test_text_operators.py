@@ -9,7 +9,8 @@ from collections import Counter
 import pytest
 from llm.helpers import ODD_TEXTS, docs, empty, rows
 
-from cuespark.llm import bpe, counts, ppm, shards, simhash
+from cuespark import session
+from cuespark.llm import bpe, common, counts, ppm, shards, simhash
 from cuespark.llm.common import components
 from cuespark.llm.queries import tokenizer_file
 
@@ -269,6 +270,19 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert components(links.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most, tables", [(1 << 16, 1), (700, 3), (0, 99)])
+def test_components_of_few_edges_need_no_rounds(spark, monkeypatch, most, tables):
+    written = []
+    monkeypatch.setattr(common, "stored", lambda df, name: written.append(name) or session.stored(df, name))
+    pairs = [(i, i + 1) for i in range(-100, 200)] + [(1000, 1000 + i) for i in range(1, 300)]
+    random.seed(4)
+    random.shuffle(pairs)
+    links = spark.createDataFrame(2 * pairs + [(5, 5), (None, 3)], "a long, b long")
+    found = dict(tuple(r) for r in common.components(links, most=most).collect())
+    assert found == {i: -100 for i in range(-100, 201)} | {1000 + i: 1000 for i in range(300)}
+    assert len(written) <= tables
+
+
 def test_one_row_of_each_component_stays_as_it_was(spark, tmp_path):
     docs(spark).write.parquet(str(tmp_path / "d"))
     stored = spark.read.parquet(str(tmp_path / "d"))
