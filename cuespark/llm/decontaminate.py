@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -13,9 +14,11 @@ from pyspark.sql.types import (
     ArrayType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
-from cuespark.llm.common import utf8, worker_cache
+from cuespark.llm.common import utf8, with_columns, worker_cache
 
 WINDOW = 10
+TEXTS = 100  # documents whose words are Python objects at a time
+PART = 1 << 18  # positions of a shard that are sieved at a time
 BLOCK = 16 << 20  # bytes of benchmark text that are broadcast at a time
 
 #: Bytes of words: digits, lower-cased letters and all of a non-ASCII character; others part words.
@@ -85,18 +88,22 @@ def suffix_array(numbers: np.ndarray, suffixes: Suffixes) -> tuple[np.ndarray, n
 
     Suffixes that cannot match, by their first two words, are left out before the sort.
     """
-    following = np.append(numbers[1:], 0)
-    maybe = (numbers > 0) & suffixes.sieve[_slot(numbers, following)]
-    maybe |= suffixes.alone[numbers]
-    at = np.flatnonzero(maybe)
-    code = numbers[at] << 32 | following[at]
-    spot = np.searchsorted(suffixes.pairs, code)
-    real = suffixes.alone[numbers[at]]
-    if len(suffixes.pairs):
-        real |= suffixes.pairs[np.minimum(spot, len(suffixes.pairs) - 1)] == code
-    at = at[real]
-    padded = np.concatenate([numbers, np.zeros(suffixes.window, np.int64)])
-    keys = _packed(padded[at[:, None] + np.arange(suffixes.window)[None, :]])
+    padded = np.concatenate([numbers, np.zeros(suffixes.window + 1, numbers.dtype)])
+    parts = [np.empty(0, np.int64)]
+    for i in range(0, len(numbers), PART):
+        here = numbers[i : i + PART].astype(np.int64)
+        following = padded[i + 1 : i + 1 + len(here)].astype(np.int64)
+        maybe = (here > 0) & suffixes.sieve[_slot(here, following)]
+        maybe |= suffixes.alone[here]
+        at = np.flatnonzero(maybe)
+        code = here[at] << 32 | following[at]
+        real = suffixes.alone[here[at]]
+        if len(suffixes.pairs):
+            spot = np.searchsorted(suffixes.pairs, code)
+            real |= suffixes.pairs[np.minimum(spot, len(suffixes.pairs) - 1)] == code
+        parts.append(at[real] + i)
+    at = np.concatenate(parts)
+    keys = _packed(padded[at[:, None] + np.arange(suffixes.window)[None, :]].astype(np.int64))
     order = np.lexsort(keys.T[::-1])
     return keys[order], at[order]
 
@@ -115,18 +122,29 @@ def bisect(keys: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
     return low
 
 
-def search_shard(bodies: list[bytes], suffixes: Suffixes, matches: bool):
-    """Per document of a shard: n_words, hit words, items, and maximal matches if asked for."""
+def numbered(bodies: pa.Array, suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """The word numbers of a shard's documents (NULL has none), and where each document begins.
+
+    A zero, which no window has, follows every document.  The words of a few documents at a time
+    are Python objects; of a whole batch they would take many times its bytes.
+    """
     get = suffixes.vocabulary.get
-    words = [words_of(b) for b in bodies]
-    sizes = np.array([len(w) for w in words], np.int64)
-    # a zero, which no window has, follows every document
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    numbers = np.zeros(starts[-1], np.int64)
-    for start, own in zip(starts, words):
-        numbers[start : start + len(own)] = np.fromiter(map(get, own, repeat(0)), np.int64, len(own))
-    del words
-    out = [[int(n), [], [], []] for n in sizes]
+    found = [np.empty(0, np.int32)]
+    sizes = []
+    for i in range(0, len(bodies), TEXTS):
+        for body in bodies.slice(i, TEXTS).to_pylist():
+            words = words_of(body or b"")
+            own = np.zeros(len(words) + 1, np.int32)
+            own[:-1] = np.fromiter(map(get, words, repeat(0)), np.int32, len(words))
+            found.append(own)
+            sizes.append(len(own))
+    return np.concatenate(found), np.cumsum([0, *sizes], dtype=np.int64)
+
+
+def search_shard(bodies: pa.Array, suffixes: Suffixes, matches: bool):
+    """Per document of a shard: n_words, hit words, items, and maximal matches if asked for."""
+    numbers, starts = numbered(bodies, suffixes)
+    out = [[n - 1, [], [], []] for n in np.diff(starts).tolist()]
     keys, positions = suffix_array(numbers, suffixes)
     if not len(positions) or not len(suffixes.windows):
         return out
@@ -135,10 +153,10 @@ def search_shard(bodies: list[bytes], suffixes: Suffixes, matches: bool):
     window = np.repeat(np.arange(len(count)), count)
     spot = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     at = positions[spot]
-    edge = np.zeros(len(numbers) + 1, np.int64)
+    edge = np.zeros(len(numbers) + 1, np.int32)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + suffixes.length[window], -1)
-    hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    hit = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0)
     of = np.searchsorted(starts, hit, "right") - 1
     cuts = np.searchsorted(of, np.arange(len(bodies) + 1))
     docs = np.searchsorted(starts, at, "right") - 1
@@ -190,6 +208,14 @@ def find_passages(
     A shard is an Arrow batch of documents.  Its suffix array is searched for every suffix of the
     benchmark, which is broadcast in blocks of a fixed size; nothing is shuffled.
     """
+    return _searched(rows, benchmark, window, matches, item_text, item_id)
+
+
+def _searched(
+    rows: DataFrame, benchmark: DataFrame, window: int, matches: bool = False,
+    item_text: str = "text", item_id: str = "item_id", inner: str | None = None,
+) -> DataFrame:
+    """find_passages; with `inner`, the texts are not `body` but that field of the struct `row`."""
     spark = rows.sparkSession
     items = benchmark.select(
         F.col(item_id).cast("string").alias("item_id"), utf8(item_text).alias("body")
@@ -197,15 +223,32 @@ def find_passages(
     blocks = (items.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // BLOCK + 1
     others = [f for f in rows.schema if f.name != "body"]
     empty = [F.lit(0).cast("long"), *(F.array().cast(f.dataType) for f in FOUND[1:])]
-    held = rows.select(*(f.name for f in others), "body").withColumns(
-        {f.name: value for f, value in zip(FOUND, empty)}
-    )
+    held = rows.withColumns({f.name: value for f, value in zip(FOUND, empty)})
+    bare = StructType([*others, *FOUND])
     spread = F.pmod(F.xxhash64("item_id", "body"), F.lit(blocks))
     for block in range(blocks):
         own = items.filter(spread == block).collect()
         texts = spark.sparkContext.broadcast([(r["item_id"], bytes(r["body"])) for r in own])
-        held = held.mapInArrow(_searcher(texts, window, matches), held.schema)
-    return held.drop("body")
+        search = _searcher(texts, window, matches)
+        if inner is not None or block == blocks - 1:  # no block needs the texts that come back
+            held = held.mapInArrow(_bare(search, inner), bare)
+        else:
+            held = held.mapInArrow(search, held.schema)
+    return held
+
+
+def _bare(search: Callable, inner: str | None) -> Callable:
+    """search without `body` in what it gives; texts are those of the struct's field `inner`, if given."""
+
+    def run(batches):
+        if inner is not None:
+            batches = (
+                with_columns(b, body=b.column("row").field(inner).cast(pa.binary())) for b in batches
+            )
+        for batch in search(batches):
+            yield batch.select([n for n in batch.schema.names if n != "body"])
+
+    return run
 
 
 def _searcher(texts, window: int, matches: bool):
@@ -215,7 +258,7 @@ def _searcher(texts, window: int, matches: bool):
         suffixes = worker_cache(key, lambda: Suffixes(texts.value, window))
         for batch in batches:
             names = batch.schema.names
-            found = search_shard(batch.column("body").to_pylist(), suffixes, matches)
+            found = search_shard(batch.column("body"), suffixes, matches)
             columns = {n: batch.column(n) for n in names}
             columns["n_words"] = pa.array([f[0] for f in found], pa.int64())
             for k, field in enumerate(("hits", "items", "matches"), 1):
@@ -257,5 +300,10 @@ def remove_contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text"
 ) -> DataFrame:
     """docs without the rows that hold a window of the benchmark."""
-    rows = docs.select(F.struct("*").alias("row"), utf8(text).alias("body"))
-    return find_passages(rows, benchmark, window).filter(F.size("hits") == 0).select("row.*")
+    row = F.struct("*").alias("row")
+    kinds = {f.name: f.dataType for f in docs.schema}
+    if isinstance(kinds.get(text), StringType):  # the text goes to the workers once
+        found = _searched(docs.select(row), benchmark, window, inner=text)
+    else:
+        found = find_passages(docs.select(row, utf8(text).alias("body")), benchmark, window)
+    return found.filter(F.size("hits") == 0).select("row.*")

@@ -200,3 +200,41 @@ def test_repeated_items_do_not_fill_a_block(spark, monkeypatch):
     found = decontaminate.judge_documents(given, items, 2).first()
     assert (found["n_hit"], found["n_items"]) == (3, 1)
     assert sizes == [len("two three") + len("four")]
+
+
+def test_words_of_a_batch_take_few_times_its_bytes():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    texts = [b" ".join(b"w%d" % ((i * 31 + j * 7) % 50_021) for j in range(1000)) for i in range(1500)]
+    texts[7] += b" alone " + b" ".join([b"go"] * 12)
+    none = pa.array([[]] * len(texts), pa.list_(pa.string()))
+    columns = {
+        "body": pa.array(texts), "n_words": pa.array([0] * len(texts)),
+        "hits": none.cast(pa.list_(pa.int64())), "items": none, "matches": none,
+    }
+    items = [("1", b"alone " + b"go " * 10), ("2", b"no such words")]
+    search = decontaminate._searcher(SimpleNamespace(value=items), 10, False)
+    tracemalloc.start()
+    (found,) = search([pa.RecordBatch.from_pydict(columns)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["n_words"].to_pylist() == [1013 if i == 7 else 1000 for i in range(1500)]
+    assert found["hits"].to_pylist() == [list(range(1000, 1013)) if i == 7 else [] for i in range(1500)]
+    assert found["items"].to_pylist() == [["1"] if i == 7 else [] for i in range(1500)]
+    assert peak < 6 * sum(map(len, texts))
+
+
+def test_removal_reads_a_text_of_any_type_and_name(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", 30)  # several blocks
+    benchmark = spark.createDataFrame(ITEMS, "item_id string, text string")
+    given = docs(spark, TEXTS)
+    want = [r["doc_id"] for r in decontaminate.judge_documents(given, benchmark).collect() if not r["contaminated"]]
+    plain = decontaminate.remove_contaminated(given, benchmark)
+    raw = decontaminate.remove_contaminated(given.withColumn("text", F.col("text").cast("binary")), benchmark)
+    other = decontaminate.remove_contaminated(given, benchmark, text="TEXT")
+    for kept in (plain, raw, other):
+        assert kept.columns == given.columns and [r["doc_id"] for r in kept.collect()] == want
+    assert "body" not in plain._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[-1]
