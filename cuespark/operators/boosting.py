@@ -5,7 +5,8 @@ gradients by feature and bin; the sums are reduced by key, and the best split of
 where they meet.  Only splits reach the driver.
 
 Trees that do not depend on each other grow in the same passes: those of all classes, and those of
-all folds of a cross-validation.  Gradients are added up as whole numbers, so that the trees do not
+all folds of a cross-validation.  Where all rows are few enough for a task, a task takes them through all
+rounds of a fit, and passes are calls.  Gradients are added up as whole numbers, so that the trees do not
 depend on how the rows are dealt.
 """
 
@@ -34,6 +35,8 @@ BLOCK_FEATURES = 64  # features whose sums are reduced together
 POINTS = 2_048  # order statistics that stand for a block's values of a feature
 NEAR = 16  # points near each cut between which rows are counted
 CUT_ROUNDS = 25  # rounds after which the rows' state is written and lineage cut
+LOCAL_CELLS = 1 << 25  # rows times features up to which one task makes all rounds of a fit
+KEPT_CELLS = 1 << 16  # cells of a node up to which such a task keeps its sums for the children
 
 
 # Trees.
@@ -60,9 +63,9 @@ class Tree:
             column += [new, new]
         return self.left[node], self.right[node]
 
-    def leaves(self, rows: np.ndarray, binned: bool) -> np.ndarray:
-        """The leaf of every row; rows hold bins or values."""
-        node = np.zeros(len(rows), np.int32)
+    def leaves(self, rows: np.ndarray, binned: bool, node: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of every row; rows hold bins or values, `node` where they have got to before."""
+        node = np.zeros(len(rows), np.int32) if node is None else node
         feature, left, right = (np.array(x, np.int32) for x in (self.feature, self.left, self.right))
         cut = np.array(self.bin if binned else self.threshold)
         while True:
@@ -116,25 +119,25 @@ def best_split(sums: np.ndarray, features: np.ndarray, s: Settings) -> Split | N
     """Of sums (features, bins, 3): the split of the largest gain, of equal ones the first feature and
     bin.  A node without a gain above zero keeps its totals with feature -1.
     """
-    left = np.cumsum(sums, axis=1)
-    total = left[:1, -1, :]
-    right = total[:, None, :] - left
+    left = np.cumsum(np.moveaxis(sums, -1, 0), axis=2)  # (3, features, bins)
+    total = left[:, :1, -1:]
+    right = total - left
     fits = (
-        (left[:, :, 2] >= s.min_rows) & (right[:, :, 2] >= s.min_rows)
-        & (left[:, :, 1] >= s.min_hessian * UNIT) & (right[:, :, 1] >= s.min_hessian * UNIT)
+        (left[2] >= s.min_rows) & (right[2] >= s.min_rows)
+        & (left[1] >= s.min_hessian * UNIT) & (right[1] >= s.min_hessian * UNIT)
     )
     gains = (
-        score(left[:, :, 0], left[:, :, 1], s.l2) + score(right[:, :, 0], right[:, :, 1], s.l2)
-        - score(total[0, 0], total[0, 1], s.l2)
+        score(left[0], left[1], s.l2) + score(right[0], right[1], s.l2)
+        - score(total[0, 0, 0], total[1, 0, 0], s.l2)
     )
-    gains = np.where(fits, gains, -np.inf)
+    gains[~fits] = -np.inf
     row, bin_ = np.unravel_index(np.argmax(gains), gains.shape)
-    whole = tuple(int(x) for x in total[0])
+    whole = tuple(int(x) for x in total[:, 0, 0])
     if not gains[row, bin_] > 1e-9:
         return Split(0.0, -1, 0, whole, whole)
     return Split(
         float(gains[row, bin_]), int(features[row]), int(bin_), whole,
-        tuple(int(x) for x in left[row, bin_]),
+        tuple(int(x) for x in left[:, row, bin_]),
     )
 
 
@@ -265,20 +268,98 @@ def histograms(
     used = chosen_rows(key, s.row_share, s.seed, turn)
     if fit:
         used &= fold != fit - 1
-    leaf = tree.leaves(bins, True)
+    slot = _slots(tree, nodes)[tree.leaves(bins, True)]
     g, h = gradients(margin[fit], label, output)
-    for node in nodes:
-        at = np.flatnonzero(used & (leaf == node))
-        if not len(at):
-            continue
-        for first in range(0, len(columns), BLOCK_FEATURES):
-            own = columns[first : first + BLOCK_FEATURES]
-            cell = (bins[np.ix_(at, own)] + np.arange(len(own)) * s.bins).ravel()
-            size = len(own) * s.bins
-            sums = [
-                np.bincount(cell, np.repeat(w[at], len(own)), size) for w in (g, h)
-            ] + [np.bincount(cell, minlength=size)]
-            yield (node, first), np.stack(sums, -1).astype(np.int64).reshape(len(own), s.bins, 3)
+    at = np.flatnonzero(used & (slot >= 0))
+    slot, g, h = slot[at], g[at], h[at]
+    some = np.bincount(slot, minlength=len(nodes)) > 0
+    for first in range(0, len(columns), BLOCK_FEATURES):
+        own = columns[first : first + BLOCK_FEATURES]
+        added = _added((bins[:, j][at] for j in own), len(own), slot, len(nodes), g, h, s)
+        for node, part, has_rows in zip(nodes, added, some):
+            if has_rows:
+                yield (node, first), part
+
+
+def _slots(tree: Tree, nodes: list[int]) -> np.ndarray:
+    """By node of the tree its place among the nodes, or -1."""
+    places = np.full(len(tree.feature), -1)
+    places[nodes] = np.arange(len(nodes))
+    return places
+
+
+def _added(
+    columns: Iterable[np.ndarray], n_columns: int, slot: np.ndarray, n: int, g: np.ndarray, h: np.ndarray,
+    s: Settings,
+) -> np.ndarray:
+    """Whole sums (node, column, bin, 3) of rows; slot numbers their nodes from 0 to n - 1."""
+    base = slot * s.bins
+    out = np.empty((3, n, n_columns, s.bins), np.int64)
+    for i, column in enumerate(columns):
+        cell = base + column
+        for k, w in enumerate((g, h, None)):
+            out[k, :, i] = np.bincount(cell, w, n * s.bins).reshape(n, s.bins)
+    return np.moveaxis(out, 0, -1)
+
+
+def _grown(block: Block, start: np.ndarray, edges: list[np.ndarray], s: Settings) -> list[list[dict]]:
+    """The trees of a fit by round and output, as plain data; all its rows are in the block."""
+    bins, label, _, key, _ = block
+    margin = np.repeat(start[None, :], len(label), axis=0)
+    made = []
+    for turn in range(s.rounds):
+        columns = chosen_columns(len(edges), s, turn)
+        used = np.flatnonzero(chosen_rows(key, s.row_share, s.seed, turn))
+        rows = bins.T.take(used, 1).T  # a feature's bins lie together
+        trees = []
+        for output in range(margin.shape[1]):
+            g, h = gradients(margin[used], label[used], output)
+            trees.append(_tree(rows, g, h, columns, edges, s))
+        for output, tree in enumerate(trees):
+            margin[:, output] += np.array(tree.value)[tree.leaves(bins, True)]
+        made.append([t.__dict__ for t in trees])
+    return made
+
+
+def _tree(
+    rows: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray, edges: list[np.ndarray], s: Settings
+) -> Tree:
+    """A tree of these rows.  Of two children the sums of the smaller are added up, those of the larger are
+    what is left of their parent's."""
+    growth = Growth(s, columns)
+    leaf = np.zeros(len(rows), np.int32)
+    sums: dict[int, np.ndarray] = {}
+    keeps = len(columns) * s.bins <= KEPT_CELLS
+
+    def split(node: int, own: np.ndarray) -> Split:
+        if keeps:
+            sums[node] = own
+        return best_split(own, columns, s)
+
+    while nodes := growth.wanted():
+        left_over: dict[int, tuple[int, int]] = {}
+        if keeps:
+            for parent, (a, b) in growth.ahead.items():
+                if a in nodes:
+                    lower = growth.splits[parent]
+                    small, large = (a, b) if 2 * lower.left[2] <= lower.total[2] else (b, a)
+                    left_over[large] = parent, small
+        leaf = growth.tree.leaves(rows, True, leaf)
+        asked = [n for n in nodes if n not in left_over]
+        slot = _slots(growth.tree, asked)[leaf]
+        at = np.flatnonzero(slot >= 0)
+        found = {}
+        # a few nodes at a time where the sums of all would be large
+        step = max(1, (KEPT_CELLS << 5) // (len(columns) * s.bins))
+        for i in range(0, len(asked), step):
+            part = at if len(asked) <= step else at[(slot[at] >= i) & (slot[at] < i + step)]
+            own = (rows[:, j][part] for j in columns)
+            added = _added(own, len(columns), slot[part] - i, len(asked[i : i + step]), g[part], h[part], s)
+            found.update({n: split(n, x) for n, x in zip(asked[i : i + step], added)})
+        for large, (parent, small) in left_over.items():
+            found[large] = split(large, sums.pop(parent) - sums[small])
+        growth.learn(found, edges)
+    return growth.finish()
 
 
 # Cut points.
@@ -383,10 +464,13 @@ def fit_boosted(
 
     def binned(m):
         x, y, f = m
-        bins = np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)], 1)
-        margin = np.repeat(start[:, None, :], len(y), axis=1)
-        return bins.astype(np.uint8 if s.bins <= 256 else np.int32), y, f, _row_keys(x, y), margin
+        kind = np.uint8 if s.bins <= 256 else np.int32
+        bins = np.stack([np.searchsorted(e, x[:, j]).astype(kind) for j, e in enumerate(edges)]).T
+        return bins, y, f, _row_keys(x, y), np.repeat(start[:, None, :], len(y), axis=1)
 
+    if sum(r["count"] for r in counts) * d <= LOCAL_CELLS:
+        own = _local(values.map(binned), start, edges, s)
+        return [Fitted(classes, start[f].tolist(), own[f]) for f in range(fits)]
     blocks = values.map(binned).persist(StorageLevel.MEMORY_AND_DISK)
     made: list[list[list[Tree]]] = [[] for _ in range(fits)]
     previous: RDD | None = None
@@ -420,6 +504,26 @@ def fit_boosted(
     return [Fitted(classes, start[f].tolist(), made[f]) for f in range(fits)]
 
 
+def _local(blocks: RDD, start: np.ndarray, edges: list[np.ndarray], s: Settings) -> list[list[list[Tree]]]:
+    """The trees of every fit, by round and output; each fit is one task, which has all its rows."""
+    fits = len(start)
+
+    def dealt(block: Block):
+        bins, y, f, key, _ = block
+        for fit in range(fits):
+            kept = f != fit - 1 if fit else slice(None)
+            yield fit, (bins[kept], y[kept], f[kept], key[kept])
+
+    def grow(item):
+        fit, parts = item
+        bins, *others = zip(*parts)
+        whole = np.concatenate([b.T for b in bins], 1).T
+        return fit, _grown((whole, *map(np.concatenate, others), None), start[fit], edges, s)
+
+    found = dict(blocks.flatMap(dealt).groupByKey(fits, lambda fit: fit).map(grow).collect())
+    return [[[Tree(**t) for t in turn] for turn in found[fit]] for fit in range(fits)]
+
+
 def _edges(values: RDD, bins: int) -> list[np.ndarray]:
     """Per feature its cut points: the values of the ranks ceil(i * n / bins), at most bins - 1.
 

@@ -186,3 +186,22 @@ def test_cuts_of_large_blocks_are_exact_ranks(spark, parts):
     ranks = np.ceil(np.arange(1, 255) * 30_000 / 255 - 1e-9).astype(int) - 1
     for found, column in zip(boosting._edges(blocks, 255), x.T):
         assert found.tolist() == np.unique(np.sort(column)[ranks]).tolist()
+
+
+@pytest.mark.parametrize("classes, growth", [(3, "leaf"), (2, "level")])
+def test_a_task_grows_the_trees_of_the_passes(spark, monkeypatch, classes, growth):
+    x, y = data_of(classes, n=600, d=6, classes=classes)
+    x[:90, 1] = 0.25  # many equal values
+    rows = table(spark, x, y, folds=np.arange(600) % 2).persist()
+    estimator = boosting.BoostedTrees(
+        rounds=2, growth=growth, leaves=6, depth=3 if growth == "level" else 0, bins=31, minRows=5
+    )
+
+    def contents():
+        return [m.getOrDefault(m.content) for m in estimator.fit_folds(rows, 2)]
+
+    local = contents()
+    monkeypatch.setattr(boosting, "KEPT_CELLS", 0)
+    assert contents() == local and len(set(local)) == 3
+    monkeypatch.setattr(boosting, "LOCAL_CELLS", 0)
+    assert contents() == local
